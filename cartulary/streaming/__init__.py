@@ -1,0 +1 @@
+"""Empty on purpose: the engine compares snapshots in batch, there is no stream to process."""
