@@ -1,35 +1,35 @@
-"""Capture: raw extracts to the snapshot tables, one lazy graph."""
+"""Capture: raw extracts to stored snapshot tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from ..operators import scans
 from ..operators.hashes import relation_hashes, revisions
 from ..operators.references import referenced_by
+from ..sources.store import land
 
 
-def only(raw: dict[str, DataFrame], snapshot_id: str) -> dict[str, DataFrame]:
-    """One consistent point in time: every extract filtered on the same snapshot."""
-    return {name: frame.filter(F.col("snapshot_id") == snapshot_id) for name, frame in raw.items() if "snapshot_id" in frame.columns}
-
-
-def build_snapshot(raw: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """The snapshot tables of every ``(catalog_id, snapshot_id)`` in the extracts."""
-    relations = scans.scan_relations(raw)
-    columns = scans.scan_columns(raw, relations)
-    constraints = scans.scan_constraints(raw, relations)
-    foreign_keys = scans.scan_foreign_keys(raw, relations)
-    tables = {
-        "scopes": raw["scopes"],
-        "relations": relations.drop("oid"),
-        "columns": columns,
-        "constraints": constraints.drop("index_oid"),
-        "foreign_keys": foreign_keys,
-        "indexes": scans.scan_indexes(raw, relations, constraints),
-        "enums": scans.scan_enums(raw, columns),
-        "referenced_by": referenced_by(foreign_keys, relations),
-    }
-    tables["hashes"] = relation_hashes(tables)
-    tables["snapshots"] = revisions(tables["hashes"], tables["enums"], tables["scopes"])
+def capture(raw: dict[str, DataFrame], target: str) -> dict[str, DataFrame]:
+    """The snapshot tables of every ``(catalog_id, snapshot_id)`` in the extracts.
+
+    Each table is written below ``target`` and read back before the next one
+    uses it: the relations feed every child scan, the children feed the
+    hashes, and a lost executor costs one table, not the whole graph.
+    """
+    tables: dict[str, DataFrame] = {"scopes": land(raw["scopes"], f"{target}/scopes")}
+
+    def keep(name: str, frame: DataFrame) -> DataFrame:
+        tables[name] = land(frame, f"{target}/{name}")
+        return tables[name]
+
+    relations = keep("relations", scans.scan_relations(raw))
+    columns = keep("columns", scans.scan_columns(raw, relations))
+    constraints = keep("constraints", scans.scan_constraints(raw, relations))
+    keep("foreign_keys", scans.scan_foreign_keys(raw, relations))
+    keep("indexes", scans.scan_indexes(raw, relations, constraints))
+    keep("enums", scans.scan_enums(raw, columns))
+    keep("referenced_by", referenced_by(tables["foreign_keys"], relations))
+    keep("hashes", relation_hashes(tables))
+    keep("snapshots", revisions(tables["hashes"], tables["enums"], tables["scopes"]))
     return tables

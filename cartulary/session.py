@@ -32,6 +32,7 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
     )
     spark = builder.getOrCreate()
@@ -46,10 +47,14 @@ def cut(df: DataFrame) -> DataFrame:
     the one the cluster names in ``spark.checkpoint.dir``; only a session
     without it (a test) gets a temporary one.
     """
-    spark = df.sparkSession
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the session, set only where the cluster names none."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cartulary-")
-        )
-    return df.checkpoint()
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="cartulary-"))
+    return named or context.getCheckpointDir()

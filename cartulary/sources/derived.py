@@ -16,6 +16,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .store import land
+
 # Column-name stems, chosen by part key: sensitive names, look-alikes, names to quote.
 STEMS = [
     "customer_email", "tokens_used_count", "tc_kimlik", "card_number", "Mixed Case", "emailed_at",
@@ -247,11 +249,11 @@ def dialect(statement: str, array: str, explode: str, no_ints: str) -> str:
     )
 
 
-def derive(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """The raw extract tables of ``raw.py`` plus ``scopes``, lazily."""
+def derive(spark: SparkSession, folder: str, target: str) -> dict[str, DataFrame]:
+    """Write the raw extract tables of ``raw.py`` plus ``scopes`` below ``target``."""
     frames = {name: spark.read.parquet(f"{folder}/{name}.parquet") for name in TABLES}
     for name, statement in STATEMENTS.items():
         text = dialect(statement, "array", "explode", "CAST(NULL AS array<int>)")
         used = {key: frame for key, frame in frames.items() if "{" + key + "}" in text}
-        frames[name] = spark.sql(text, **used)
+        frames[name] = land(spark.sql(text, **used), f"{target}/{name}")
     return {name: frames[name] for name in STATEMENTS}
