@@ -16,7 +16,7 @@ from .keys import RELATION, SECTIONS, SNAPSHOT
 from .operators import hashes, references, scans
 from .plans.capture import capture
 from .session import shared_folder
-from .sources.derived import derive
+from .sources.derived import derive, derive_more
 from .sources.store import at
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,15 @@ def snapshot(spark: SparkSession, folder: str, snapshot_id: str | None = None) -
     return tables if snapshot_id is None else at(tables, snapshot_id)
 
 
+def notes(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """Note pages, artifacts and name requests."""
+    def make(target):
+        base = {"order_base": raw(spark, folder)["order_base"], "hashes": snapshot(spark, folder)["hashes"]}
+        return derive_more(spark, folder, target, base)
+
+    return _landed(spark, folder, "notes", make)
+
+
 def index_keys_text(keys) -> F.Column:
     return F.array_join(F.transform(keys, lambda k: F.coalesce(k["column"], F.concat(F.lit("="), k["expression"]))), "|")
 

@@ -240,6 +240,56 @@ FROM {{entity_base}} WHERE what = 'customer' AND k % 2 = 0""",
 }
 
 
+_BS = "chr(92)"
+_NL = "chr(10)"
+
+# Note pages of the orders named like documents; hashes are those of snapshot s1.
+PAGES = f"""
+SELECT catalog_id, relation_id, schema, path, CASE WHEN k % 5 = 0 THEN replace(body, chr(10), concat(chr(13), chr(10))) ELSE body END AS text
+FROM (
+SELECT catalog_id, relation_id, schema, path, k, concat(
+  CASE WHEN k % 29 = 0 THEN '' ELSE concat('---', {_NL}) END,
+  '{{{{"version":', CASE WHEN k % 53 = 0 THEN '2' ELSE '1' END,
+  ',"table":"', CASE WHEN k % 59 = 0 THEN 'x.y' ELSE replace(relation_id, '"', concat({_BS}, '"')) END,
+  '","purpose":', CASE WHEN k % 37 = 0 THEN '42' WHEN k % 3 = 0 THEN '""' WHEN k % 3 = 1 THEN concat('"About ', lang, {_BS}, 'u0007 documents "')
+                       ELSE concat('"', replace(replace(replace(doc, '"', ' '), {_BS}, ' '), {_NL}, ' '), '"') END,
+  ',"owner":', CASE WHEN k % 61 = 0 THEN '{{{{"a":1}}}}' WHEN k % 4 = 0 THEN 'null' ELSE concat('"', source, '"') END,
+  CASE WHEN k % 83 = 0 THEN ',"owner":"again"' ELSE '' END,
+  ',"tags":', CASE WHEN k % 41 = 0 THEN '"core"' WHEN k % 67 = 0 THEN '[1]' WHEN k % 6 = 0 THEN '[]' ELSE concat('["', lang, '","', source, '"]') END,
+  ',"columns":', CASE WHEN k % 43 = 0 THEN '["id"]' WHEN k % 97 = 0 THEN 'null' ELSE concat('{{{{"id":{{{{"note":"key a/b ', k, '","sensitive":',
+        CASE k % 3 WHEN 0 THEN 'true' WHEN 1 THEN 'false' ELSE 'null' END, '}}}},"customer_email_1":{{{{"sensitive":false}}}},"gone_', k % 9, '":',
+        CASE WHEN k % 47 = 0 THEN '{{{{"sensitive":"yes"}}}}' WHEN k % 71 = 0 THEN '"note"' WHEN k % 73 = 0 THEN '{{{{"note":1}}}}' ELSE '{{{{}}}}' END,
+        ',"customer_id":null}}}}') END,
+  ',"custom":[1,2]', CASE WHEN k % 79 = 0 THEN '' ELSE '}}}}' END, {_NL},
+  CASE WHEN k % 89 = 0 THEN '' ELSE concat('---', {_NL}) END, {_NL}, '# ', relation_id, {_NL}, {_NL},
+  CASE WHEN k % 19 = 0 THEN '<!-- auto:end -->' ELSE '<!-- auto:start -->' END, {_NL},
+  CASE WHEN k % 23 = 0 THEN '<!-- state:gone -->' WHEN k % 7 = 0 THEN '<!-- state:removed -->' WHEN k % 11 = 0 THEN '<!-- state:out_of_scope -->' ELSE '<!-- state:active -->' END, {_NL},
+  '<!-- hash:', CASE WHEN k % 31 = 0 THEN repeat('0', 64) ELSE hash END, ' -->', {_NL}, '<!-- doc-hash:', doc_hash, ' -->', {_NL},
+  CASE WHEN k % 7 = 0 AND k % 2 = 0 THEN concat('> Removed: not in the database at the last capture. The text below is the last description.', {_NL}, {_NL}) ELSE '' END,
+  'Description of ', relation_id, {_NL},
+  CASE WHEN k % 13 = 0 THEN 'no end' WHEN k % 19 = 0 THEN '<!-- auto:start -->' ELSE '<!-- auto:end -->' END, {_NL},
+  CASE WHEN k % 17 = 0 THEN concat('<!-- auto:start -->', {_NL}) ELSE '' END, {_NL}, '## Notes', {_NL}, {_NL}, doc, {_NL}) AS body
+FROM (SELECT b.catalog_id, b.relation_id, b.schema, concat('pages/', b.schema, '.', b.k, '.md') AS path, b.k, d.lang, d.source, d.text AS doc,
+             coalesce(h.hash, repeat('0', 64)) AS hash, coalesce(h.doc_hash, repeat('0', 64)) AS doc_hash
+      FROM (SELECT catalog_id, k, schema_name AS schema, {_ID} AS relation_id FROM {{order_base}} WHERE ver = 1) b
+      JOIN {{documents}} d ON d.doc_id = b.k
+      LEFT JOIN (SELECT catalog_id, relation_id, hash, doc_hash FROM {{hashes}} WHERE snapshot_id = 's1') h
+        ON h.catalog_id = b.catalog_id AND h.relation_id = b.relation_id) x) y"""
+
+# Files a documentation folder should hold, where they are present.
+ARTIFACTS = """
+SELECT concat('db', lpad(cast(n_nationkey AS string), 2, '0')) AS catalog_id, file
+FROM (SELECT n_nationkey, i, CASE i WHEN 1 THEN 'index.md' WHEN 2 THEN 'rules.md' ELSE 'log.md' END AS file
+      FROM (SELECT n_nationkey, EXPLODE(ARR(1, 2, 3)) AS i FROM {nation}) y) x
+WHERE (n_nationkey + i) % 4 <> 0"""
+
+# Relation names as people type them, one request per customer.
+REQUESTS = f"""
+SELECT catalog_id, CAST(c AS bigint) AS request_id, k AS pos,
+       CASE k % 6 WHEN 0 THEN concat('ORDER_', k) WHEN 1 THEN concat('  ', {_ID}, ' ') WHEN 2 THEN {_quoted()}
+                  WHEN 3 THEN concat('"ORDER_', k, '"') WHEN 4 THEN concat('a.b.', k) ELSE concat('Sales.Customer_', c) END AS input
+FROM {{order_base}} WHERE ver = 2"""
+
 TABLES = ["orders", "customer", "lineitem", "supplier", "part", "nation"]
 
 
@@ -257,3 +307,18 @@ def derive(spark: SparkSession, folder: str, target: str) -> dict[str, DataFrame
         used = {key: frame for key, frame in frames.items() if "{" + key + "}" in text}
         frames[name] = land(spark.sql(text, **used), f"{target}/{name}")
     return {name: frames[name] for name in STATEMENTS}
+
+
+def derive_more(spark: SparkSession, folder: str, target: str, base: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Pages, artifacts and name requests, once the hashes of ``s1`` are known."""
+    frames = {
+        **base,
+        "documents": spark.read.parquet(f"{folder}/documents.parquet"),
+        "nation": spark.read.parquet(f"{folder}/nation.parquet"),
+    }
+    made = {}
+    for name, statement in {"note_pages": PAGES, "artifacts": ARTIFACTS, "requests": REQUESTS}.items():
+        text = dialect(statement, "array", "explode", "CAST(NULL AS array<int>)")
+        used = {key: frame for key, frame in frames.items() if "{" + key + "}" in text}
+        made[name] = land(spark.sql(text, **used), f"{target}/{name}")
+    return made
