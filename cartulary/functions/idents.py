@@ -36,13 +36,8 @@ def parse_name(text: Column) -> Column:
     Unquoted parts fold ASCII letters only; ``""`` inside quotes is a quote.
     """
     trimmed = trim_all(text)
-    first, second = F.regexp_extract(trimmed, _NAME, 1), F.regexp_extract(trimmed, _NAME, 2)
-    return F.when(
-        trimmed.rlike(_NAME),
-        F.when(second == "", F.array(_unquote(first))).otherwise(
-            F.array(_unquote(first), _unquote(second))
-        ),
-    )
+    raw_parts = F.regexp_extract_all(trimmed, F.lit(_PART), F.lit(0))
+    return F.when(trimmed.rlike(_NAME), F.transform(raw_parts, _unquote))
 
 
 def quote_list(names: Column, separator: str = ", ") -> Column:

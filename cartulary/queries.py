@@ -12,12 +12,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .keys import RELATION, SECTIONS, SNAPSHOT
-from .operators import hashes, references, scans
+from . import keys
+from .functions import secrets, text
+from .functions.idents import parse_name, quote_ident, trim_all
+from .keys import FIELD_LIMIT, OVERVIEW_LIMIT, RELATION, SNAPSHOT
+from .operators import diff, hashes, lines, pages, references, rules, scans
+from .plans import detail as details
+from .plans import discovery, reports
+from .plans import drift as drifts
 from .plans.capture import capture
 from .session import shared_folder
+from .sources import sinks
 from .sources.derived import derive, derive_more
-from .sources.store import at
+from .sources.store import at, land
 
 Query = Callable[[SparkSession, str], DataFrame]
 STORED, LIVE = "s1", "s2"
@@ -57,7 +64,11 @@ def notes(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """Note pages, artifacts and name requests."""
     def make(target):
         base = {"order_base": raw(spark, folder)["order_base"], "hashes": snapshot(spark, folder)["hashes"]}
-        return derive_more(spark, folder, target, base)
+        made = derive_more(spark, folder, target, base)
+        # Pages are parsed once per capture; everything else reads the parsed table.
+        made["pages"] = land(pages.parse_pages(made["note_pages"]), f"{target}/pages")
+        made["column_notes"] = land(pages.column_notes(made["pages"]), f"{target}/column_notes")
+        return made
 
     return _landed(spark, folder, "notes", make)
 
@@ -137,3 +148,458 @@ def snapshot_revisions(spark, folder):
     tables = snapshot(spark, folder)
     found = hashes.revisions(tables["hashes"], tables["enums"], tables["scopes"])
     return found.withColumn("schemas", F.array_join("schemas", "|"))
+
+
+# --- structure ---------------------------------------------------------------
+
+
+@query
+def column_lines(spark, folder):
+    return lines.column_lines(snapshot(spark, folder, LIVE), overrides(spark, folder))
+
+
+@query
+def key_lines(spark, folder):
+    return lines.key_lines(snapshot(spark, folder, LIVE))
+
+
+@query
+def foreign_key_lines(spark, folder):
+    return lines.foreign_key_lines(snapshot(spark, folder, LIVE))
+
+
+@query
+def index_lines(spark, folder):
+    return lines.index_lines(snapshot(spark, folder, LIVE))
+
+
+@query
+def column_flags(spark, folder):
+    found = lines.column_flags(snapshot(spark, folder, LIVE), overrides(spark, folder))
+    return found.withColumn("flags", F.array_join("flags", ","))
+
+
+@query
+def ddl_lines(spark, folder):
+    return reports.ddl_lines(snapshot(spark, folder, LIVE), overrides(spark, folder))
+
+
+@query
+def text_export(spark, folder):
+    columns = ["relation_id", "ordinal", "name", "type", "nullable", "default", "comment"]
+    return reports.text_export(snapshot(spark, folder, LIVE)["columns"], columns)
+
+
+# --- pages and rules ---------------------------------------------------------
+
+
+def parsed(spark, folder) -> DataFrame:
+    return notes(spark, folder)["pages"]
+
+
+def overrides(spark, folder) -> DataFrame:
+    return pages.overrides(notes(spark, folder)["column_notes"])
+
+
+@query
+def page_blocks(spark, folder):
+    return pages.parse_blocks(notes(spark, folder)["note_pages"]).drop("text", "head", "tail")
+
+
+@query
+def page_notes(spark, folder):
+    return pages.parse_pages(notes(spark, folder)["note_pages"]).select(
+        "catalog_id", "relation_id", "path", "ok", "reason", "state", "hash", "purpose", "owner", F.array_join("tags", "|").alias("tags"))
+
+
+@query
+def column_notes(spark, folder):
+    return pages.column_notes(parsed(spark, folder))
+
+
+@query
+def sensitive_columns(spark, folder):
+    return rules.sensitive_columns(snapshot(spark, folder, LIVE), overrides(spark, folder))
+
+
+@query
+def uncovered_foreign_keys(spark, folder):
+    return rules.uncovered_foreign_keys(snapshot(spark, folder, LIVE)).withColumn("columns", F.array_join("columns", "|"))
+
+
+@query
+def rule_warnings(spark, folder):
+    found = parsed(spark, folder)
+    rows = rules.warnings(snapshot(spark, folder, LIVE), found.filter("ok"), pages.column_notes(found))
+    return rows.withColumn("columns", F.array_join("columns", "|"))
+
+
+@query
+def undocumented_rate(spark, folder):
+    return rules.undocumented_rate(snapshot(spark, folder, LIVE), parsed(spark, folder).filter("ok"))
+
+
+def subjects(spark, folder) -> DataFrame:
+    live = snapshot(spark, folder, LIVE)
+    return pages.subjects(live["hashes"], parsed(spark, folder), live["scopes"])
+
+
+@query
+def page_states(spark, folder):
+    return subjects(spark, folder).select("catalog_id", "relation_id", "captured", "has_page", "due_state", "state", "ok")
+
+
+@query
+def page_warnings(spark, folder):
+    return diff.page_warnings(subjects(spark, folder))
+
+
+@query
+def page_checks(spark, folder):
+    return diff.page_checks(subjects(spark, folder))
+
+
+@query
+def page_lifecycle(spark, folder):
+    changed = F.when(F.col("action").isin("created", "skipped", "unchanged"), F.lit(None)).otherwise(F.sha2("new_text", 256))
+    return pages.lifecycle(subjects(spark, folder)).select("catalog_id", "relation_id", "action", changed.alias("new_hash"))
+
+
+@query
+def changed_pages(spark, folder):
+    return sinks.changed(
+        pages.lifecycle(subjects(spark, folder)).filter(F.col("has_page")).select("path", F.col("new_text").alias("text")),
+        notes(spark, folder)["note_pages"].select("path", "text"), ["path"], "text").select("path", F.length("text").alias("n_chars"))
+
+
+@query
+def human_context(spark, folder):
+    found = details.human_context(snapshot(spark, folder, LIVE), parsed(spark, folder))
+    return found.withColumn("value", F.sha2("value", 256)).withColumn("n_chars", F.length("value"))
+
+
+# --- discovery and detail ----------------------------------------------------
+
+SEARCH_TEXTS = ["  EMAIL ", "customer_id", "order_1", "sales.nation", "Mixed Case_3", "%", "odd.\"1"]
+
+
+@query
+def overview(spark, folder):
+    return discovery.overview(snapshot(spark, folder, LIVE), parsed(spark, folder))
+
+
+@query
+def search(spark, folder):
+    found = discovery.search(snapshot(spark, folder, LIVE), SEARCH_TEXTS)
+    return found.withColumn("matched_columns", F.array_join("matched_columns", "|"))
+
+
+@query
+def search_pages(spark, folder):
+    found = discovery.search(snapshot(spark, folder, LIVE), SEARCH_TEXTS).drop("matched_columns")
+    return discovery.pages_of(found, [*SNAPSHOT, "text"], ["rank", "relation_id"])
+
+
+@query
+def search_page(spark, folder):
+    found = discovery.search(snapshot(spark, folder, LIVE), ["order_1"]).select("rank", "relation_id", "catalog_id")
+    return discovery.page(found, ["rank", "relation_id", "catalog_id"], 50, (2, "finished.order_11", "db"))
+
+
+def known(spark, folder) -> DataFrame:
+    """Everything a name can mean: captured relations and relations with a page."""
+    live = snapshot(spark, folder, LIVE)["relations"].select("catalog_id", "relation_id", "name")
+    paged = notes(spark, folder)["note_pages"].select("catalog_id", "relation_id")
+    name = F.element_at(parse_name(F.col("relation_id")), -1)
+    return live.unionByName(
+        paged.join(live.select("catalog_id", "relation_id"), ["catalog_id", "relation_id"], "left_anti").withColumn("name", name))
+
+
+def resolution(spark, folder) -> tuple[DataFrame, DataFrame]:
+    scopes = snapshot(spark, folder, LIVE)["scopes"]
+    return details.resolve_names(notes(spark, folder)["requests"], known(spark, folder), scopes)
+
+
+@query
+def resolve_names(spark, folder):
+    return resolution(spark, folder)[0]
+
+
+@query
+def name_candidates(spark, folder):
+    return resolution(spark, folder)[1]
+
+
+@query
+def request_problems(spark, folder):
+    return details.first_problems(resolution(spark, folder)[0])
+
+
+@query
+def accepted_requests(spark, folder):
+    return details.accepted(resolution(spark, folder)[0])
+
+
+@query
+def neighbors(spark, folder):
+    live = snapshot(spark, folder, LIVE)
+    seeds = live["relations"].filter(F.col("schema").isin("sales", "parts")).select(
+        *SNAPSHOT, F.col("relation_id").alias("request_id"), "relation_id")
+    return references.neighbors(live["foreign_keys"], live["relations"], seeds)
+
+
+def chosen(spark, folder, related: bool = True) -> DataFrame:
+    live = snapshot(spark, folder, LIVE)
+    captured = live["relations"].select("catalog_id", "relation_id")
+    seeds = details.requested(resolution(spark, folder)[0]).join(captured, ["catalog_id", "relation_id"], "left_semi")
+    return details.selection(live, seeds, related)
+
+
+@query
+def detail_selection(spark, folder):
+    return chosen(spark, folder)
+
+
+@query
+def detail(spark, folder):
+    return details.detail(snapshot(spark, folder, LIVE), parsed(spark, folder), chosen(spark, folder))
+
+
+@query
+def detail_external(spark, folder):
+    return details.detail_external(snapshot(spark, folder, LIVE), chosen(spark, folder, related=False))
+
+
+@query
+def detail_enums(spark, folder):
+    found = details.detail_enums(snapshot(spark, folder, LIVE), chosen(spark, folder, related=False))
+    return found.withColumn("values", F.array_join("values", "|"))
+
+
+# --- drift -------------------------------------------------------------------
+
+
+@query
+def snapshot_diff(spark, folder):
+    live = snapshot(spark, folder, LIVE)
+    found = diff.relation_diff(snapshot(spark, folder, STORED), live, live["scopes"])
+    return found.withColumn("sections", F.array_join("sections", ","))
+
+
+@query
+def documentation_diff(spark, folder):
+    live = snapshot(spark, folder, LIVE)
+    found = diff.documentation_diff(snapshot(spark, folder, STORED), live, live["scopes"])
+    return found.withColumn("columns", F.array_join("columns", ","))
+
+
+@query
+def enum_diff(spark, folder):
+    live = snapshot(spark, folder, LIVE)
+    return diff.enum_diff(snapshot(spark, folder, STORED), live, live["scopes"], hashes.enum_hash())
+
+
+@query
+def refresh_diff(spark, folder):
+    return diff.refresh_diff(snapshot(spark, folder, STORED)["hashes"], snapshot(spark, folder, LIVE)["hashes"])
+
+
+@query
+def hash_history(spark, folder):
+    return diff.hash_history(snapshot(spark, folder)["hashes"])
+
+
+@query
+def scope_mismatch(spark, folder):
+    found = diff.scope_mismatch(
+        snapshot(spark, folder, STORED)["snapshots"], snapshot(spark, folder, LIVE)["snapshots"])
+    return found.withColumns({c: F.array_join(c, "|") for c in ("stored", "configured")})
+
+
+def report(spark, folder) -> DataFrame:
+    return drifts.drift(snapshot(spark, folder, STORED), snapshot(spark, folder, LIVE), parsed(spark, folder), notes(spark, folder)["artifacts"])
+
+
+@query
+def drift(spark, folder):
+    return report(spark, folder).withColumns({c: F.array_join(c, ",") for c in ("columns", "sections")})
+
+
+@query
+def drift_verdicts(spark, folder):
+    return drifts.verdicts(snapshot(spark, folder, LIVE)["snapshots"], report(spark, folder))
+
+
+def summary(spark, folder) -> DataFrame:
+    return drifts.refresh_summary(
+        snapshot(spark, folder, STORED), snapshot(spark, folder, LIVE), pages.lifecycle(subjects(spark, folder)), parsed(spark, folder).filter("ok"))
+
+
+@query
+def refresh_summary(spark, folder):
+    return summary(spark, folder)
+
+
+@query
+def run_log(spark, folder):
+    return drifts.run_log(summary(spark, folder), F.to_timestamp(F.lit("2026-09-25 10:30:00")))
+
+
+@query
+def snapshot_checks(spark, folder):
+    tables = snapshot(spark, folder)
+    tampered = F.when(F.substring("catalog_id", -1, 1) == "7", F.reverse("revision")).otherwise(F.col("revision"))
+    stored = tables["snapshots"].select(
+        *SNAPSHOT, "schemas", tampered.alias("revision"), F.lit(keys.FORMAT).alias("format"), F.lit(keys.COVERAGE).alias("coverage"))
+    return reports.snapshot_checks(tables, stored)
+
+
+# --- text, numbers and the star schema itself --------------------------------
+
+
+@query
+def ordered_children(spark, folder):
+    """Lines of every order in order, as one text; every remaining column breaks ties."""
+    rest = ["l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus"]
+    line = spark.read.parquet(f"{folder}/lineitem.parquet").select("l_orderkey", *rest)
+    nested = line.groupBy("l_orderkey").agg(
+        scans.ordered_list(F.struct(*rest), F.concat_ws(":", "l_linenumber", "l_partkey", "l_suppkey")).alias("items"))
+    orders = spark.read.parquet(f"{folder}/orders.parquet").select("o_orderkey", "o_custkey")
+    joined = orders.join(nested, orders.o_orderkey == nested.l_orderkey, "left")
+    items = F.coalesce("items", F.array().cast("array<string>"))
+    return joined.select("o_orderkey", "o_custkey", F.size(items).alias("n_items"), F.array_join(items, "|").alias("items"))
+
+
+@query
+def scoped_orders(spark, folder):
+    """Orders of customers in the configured segments: scope filter and semi-join push-down."""
+    customers = spark.read.parquet(f"{folder}/customer.parquet").filter(F.col("c_mktsegment").isin("BUILDING", "MACHINERY"))
+    orders = spark.read.parquet(f"{folder}/orders.parquet")
+    return orders.join(customers.select(F.col("c_custkey").alias("o_custkey")), "o_custkey", "left_semi").select(
+        "o_orderkey", "o_custkey", "o_orderstatus")
+
+
+@query
+def clean_documents(spark, folder):
+    """Every document cleaned, trimmed and clipped at the three limits."""
+    documents = spark.read.parquet(f"{folder}/documents.parquet")
+    # Mixed line ends and control characters, put there so that cleaning has work to do.
+    dirty = F.concat(F.lit("  \u0007"), F.regexp_replace("text", "\n", "\r\n"), F.lit("\u001b[31m\t\u00a0"))
+    field, brief = text.prose(dirty, FIELD_LIMIT), text.prose(F.col("text"), OVERVIEW_LIMIT)
+    return documents.select(
+        "doc_id", field["value"].alias("field"), field["truncated"].alias("field_cut"), brief["value"].alias("brief"), brief["truncated"].alias("brief_cut"),
+        F.length(text.clean_code(dirty)).alias("code_chars"), text.size_estimate(F.col("text")).alias("tokens"))
+
+
+@query
+def truncated_documents(spark, folder):
+    """Pointers of all cut fields per document: the truncation ledger."""
+    documents = spark.read.parquet(f"{folder}/documents.parquet")
+    cut = lambda column, limit, *path: F.when(text.prose(column, limit)["truncated"], text.pointer("documents", F.col("doc_id"), *path))
+    ledger = F.array(cut(F.col("text"), FIELD_LIMIT, "text"), cut(F.col("text"), 8000, "a/b~c"), cut(F.col("source"), 4, F.col("source")))
+    kept = F.filter(ledger, lambda p: p.isNotNull())
+    return documents.select("doc_id", F.posexplode(kept).alias("position", "pointer"))
+
+
+@query
+def identifiers(spark, folder):
+    """Quoting and parsing of names of many shapes."""
+    part = spark.read.parquet(f"{folder}/part.parquet")
+    shapes = [
+        F.col("p_name"), F.replace("p_name", F.lit(" "), F.lit("_")), F.concat(F.lit("  "), F.col("p_brand"), F.lit(".")),
+        F.concat(F.replace("p_brand", F.lit("#"), F.lit("_")), F.lit("."), F.upper("p_name")), F.concat(F.lit('"a""'), F.col("p_name"), F.lit('".x')),
+        F.concat(F.col("p_type"), F.lit(".b.c")), F.concat(F.lit("\u00dc"), F.col("p_type")), F.concat(F.col("p_type"), F.lit("\n"))]
+    rows = part.select("p_partkey", F.posexplode(F.array(*shapes)).alias("shape", "text"))
+    return rows.select("p_partkey", "shape", "text", quote_ident(F.col("text")).alias("quoted"), F.array_join(parse_name(F.col("text")), "|").alias("parts"))
+
+
+@query
+def search_documents(spark, folder):
+    """Literal, case-insensitive containment over whole texts."""
+    documents = spark.read.parquet(f"{folder}/documents.parquet")
+    has = lambda part: text.contains_ci(F.col("text"), F.lit(part))
+    return documents.filter(has("THE AND") | has("%") | has(".*")).select("doc_id", has("THE AND").alias("words"), has("%").alias("percent"), has(".*").alias("stars"))
+
+
+@query
+def label_overrides(spark, folder):
+    """A human label, 0 or 1, wins over the rule."""
+    documents = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", (F.col("n_chars") > 2000).alias("automatic"))
+    labels = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", (F.col("quality") == 1).alias("override"))
+    joined = documents.join(labels, "doc_id", "left")
+    return joined.select("doc_id", "automatic", "override", F.coalesce("override", "automatic").alias("effective"))
+
+
+def credential_urls(spark, folder) -> DataFrame:
+    """Page URLs with credentials of several shapes put into them."""
+    found = spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "url", "html")
+    which = F.col("page_id") % 5
+    rest = F.regexp_replace("url", r"\A[a-z]+://", "")
+    secret = F.concat(F.lit("p%40ss-w0rd!"), F.col("page_id"))
+    return found.withColumn(
+        "secret_url",
+        F.when(which == 0, F.concat(F.lit("postgres://user:"), secret, F.lit("@"), rest))
+        .when(which == 1, F.concat(F.lit("postgres://"), F.substring_index(F.substring_index(rest, "#", 1), "?", 1), F.lit("?password=hunter"), F.col("page_id").cast("string"), F.lit("&sslmode=require&sslKey=a%2Fb")))
+        .when(which == 2, F.concat(F.lit("not a url "), F.col("url"))).otherwise(F.col("url")))
+
+
+@query
+def redact_urls(spark, folder):
+    return credential_urls(spark, folder).select("page_id", secrets.redact_url(F.col("secret_url")).alias("redacted"))
+
+
+@query
+def scrub_messages(spark, folder):
+    """Whole pages with their URL and its secrets inside, scrubbed."""
+    rows = credential_urls(spark, folder)
+    number = F.col("page_id").cast("string")
+    message = F.concat(
+        F.lit("failed for "), F.col("secret_url"), F.lit("; p%40ss-w0rd!"), number, F.lit(" / p@ss-w0rd!"), number, F.lit(" / hunter"), number,
+        F.lit(" / a/b / a%2Fb "), F.col("html"))
+    scrubbed = secrets.scrub_secrets(message, F.col("secret_url"))
+    return rows.select("page_id", F.substring_index(scrubbed, "<!DOCTYPE", 1).alias("start"), F.length(scrubbed).alias("n_chars"))
+
+
+@query
+def latency_summary(spark, folder):
+    events = spark.read.parquet(f"{folder}/events.parquet")
+    return reports.latency_summary(events, ["event_type"], "value", {"median": 0.5, "p95": 0.95})
+
+
+@query
+def size_breakdown(spark, folder):
+    """Characters of note pages by part."""
+    blocks = pages.parse_blocks(notes(spark, folder)["note_pages"])
+    return reports.size_breakdown(blocks, ["catalog_id"], F.col("text"), {
+        "front": F.coalesce("front", F.lit("")), "structure": F.coalesce("block", F.lit("")),
+        "prose": F.concat(F.coalesce("before", F.lit("")), F.coalesce("after", F.lit("")))})
+
+
+@query
+def document_sizes(spark, folder):
+    """Counts and character sums by language and source, and the ratio of two totals."""
+    documents = spark.read.parquet(f"{folder}/documents.parquet")
+    cleaned = F.length(trim_all(text.clean_text(F.col("text"))))
+    return documents.groupBy("lang", "source").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"), F.sum(cleaned).alias("clean_chars"),
+        F.round(F.sum(cleaned) / F.sum("n_chars"), 2).alias("ratio"))
+
+
+@query
+def size_report(spark, folder):
+    """Characters of four representations of each database."""
+    live = snapshot(spark, folder, LIVE)
+    human = overrides(spark, folder)
+    compact = lines.all_lines(live, human)
+    listing = discovery.overview(live, parsed(spark, folder)).select(
+        "catalog_id", F.concat_ws("|", "relation_id", "kind", F.col("columns").cast("string"), F.col("warnings").cast("string"), "purpose").alias("line"))
+    exported = reports.text_export(live["columns"], ["relation_id", "ordinal", "name", "type", "nullable", "default", "identity", "generated", "comment", "enum_id"])
+    return reports.size_report({
+        "A": exported.select("catalog_id", "line"), "B": listing,
+        "C": compact.select("catalog_id", "line"), "D": reports.ddl_lines(live, human).select("catalog_id", "line")})
+
+
+@query
+def duplicate_keys(spark, folder):
+    """Uniqueness check on (order, line number), which the data violates."""
+    return reports.duplicates(spark.read.parquet(f"{folder}/lineitem.parquet"), ["l_orderkey", "l_linenumber"])
