@@ -51,6 +51,10 @@ def compact_list(names: Column) -> Column:
     )
 
 
+# White space of the Unicode standard plus the byte-order mark, without U+0085.
+_WHITE = r"[\x{0009}-\x{000D}\x{0020}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+"
+
+
 def trim_all(text: Column) -> Column:
     """Trim all Unicode white space and byte-order marks, not only blanks."""
-    return F.regexp_replace(text, r"(?U)\A[\s\x{FEFF}]+|[\s\x{FEFF}]+\z", "")
+    return F.regexp_replace(text, rf"\A{_WHITE}|{_WHITE}\z", "")

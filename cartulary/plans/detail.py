@@ -10,6 +10,7 @@ from ..keys import FIELD_LIMIT, LONG_LIMIT, REQUEST_MAX, SNAPSHOT
 from ..operators import lines
 from ..operators.pages import column_notes, overrides
 from ..operators.references import external_targets, neighbors
+from ..session import cut
 
 Tables = dict[str, DataFrame]
 REQUEST = ["catalog_id", "request_id"]
@@ -84,7 +85,11 @@ def restrict(tables: Tables, chosen: DataFrame) -> Tables:
 
 
 def detail(tables: Tables, parsed_pages: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Structure lines of every chosen relation, one row per line and request."""
+    """Structure lines of every chosen relation, one row per line and request.
+
+    The selection restricts every table, so it is materialised once.
+    """
+    chosen = cut(chosen)
     limited = restrict(tables, chosen)
     body = lines.all_lines(limited, overrides(column_notes(parsed_pages)))
     return chosen.join(body, SNAPSHOT + ["relation_id"]).select(
