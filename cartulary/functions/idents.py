@@ -51,10 +51,13 @@ def compact_list(names: Column) -> Column:
     )
 
 
-# White space of the Unicode standard plus the byte-order mark, without U+0085.
-_WHITE = r"[\x{0009}-\x{000D}\x{0020}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+"
+# White space of the Unicode standard plus the byte-order mark, without U+0085.
+WHITE_SPACE = (
+    "\t\n\v\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000\ufeff"
+)
 
 
 def trim_all(text: Column) -> Column:
     """Trim all Unicode white space and byte-order marks, not only blanks."""
-    return F.regexp_replace(text, rf"\A{_WHITE}|{_WHITE}\z", "")
+    return F.btrim(text, F.lit(WHITE_SPACE))

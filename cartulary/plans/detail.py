@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.idents import parse_name, qualified_id, trim_all
-from ..functions.text import pointer, prose
+from ..functions.text import clip, is_cut, pointer, prose, unix_lines
 from ..keys import FIELD_LIMIT, LONG_LIMIT, REQUEST_MAX, SNAPSHOT
 from ..operators import lines
 from ..operators.pages import column_notes, overrides
@@ -120,30 +120,48 @@ def human_context(tables: Tables, parsed_pages: DataFrame) -> DataFrame:
     valid = parsed_pages.filter("ok")
 
     def rows(frame: DataFrame, field: str, item, text, limit: int) -> DataFrame:
-        cut = prose(text, limit)
-        path = pointer("untrusted", field) if item is None else pointer("untrusted", field, item)
         return frame.select(
             *key, F.lit(field).alias("field"), (F.lit("") if item is None else item.cast("string")).alias("item"),
-            cut["value"].alias("value"), cut["truncated"].alias("truncated"), F.when(cut["truncated"], path).alias("pointer"))
+            text.alias("text"), F.lit(limit).alias("limit"))
 
-    body = F.concat_ws("\n\n", F.nullif(_unix_trim("before"), F.lit("")), F.nullif(_unix_trim("after"), F.lit("")))
+    body = F.concat_ws("\n\n", F.nullif(trim_all(unix_lines(F.col("before"))), F.lit("")), F.nullif(trim_all(unix_lines(F.col("after"))), F.lit("")))
     tags = valid.select(*key, F.posexplode("tags").alias("at", "tag"))
     notes = column_notes(parsed_pages)
-    item = F.coalesce(prose(F.col("name"), FIELD_LIMIT)["value"], F.lit(""))
     parts = [
         rows(valid, "purpose", None, F.col("purpose"), FIELD_LIMIT),
         rows(valid, "owner", None, F.col("owner"), FIELD_LIMIT),
         rows(tags, "tags", F.col("at"), F.col("tag"), FIELD_LIMIT),
         rows(tables["relations"], "comment", None, F.col("comment"), FIELD_LIMIT),
         rows(tables["columns"], "colComments", F.col("name"), F.col("comment"), FIELD_LIMIT),
-        rows(notes, "colNotes", item, F.col("note"), FIELD_LIMIT),
-        rows(valid.withColumn("body", body), "notes", None, F.col("body"), LONG_LIMIT),
+        rows(notes, "colNotes", clip(F.coalesce(prose(F.col("name")), F.lit("")), FIELD_LIMIT), F.col("note"), FIELD_LIMIT),
+        rows(valid, "notes", None, body, LONG_LIMIT),
     ]
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)
-    return every.filter(F.col("value").isNotNull())
+    # One cleaning projection over all fields, then clipping on its result.
+    cleaned = every.filter(F.col("text").isNotNull()).withColumn("full", prose(F.col("text"))).filter(F.col("full").isNotNull())
+    path = F.when(F.col("item") == "", pointer("untrusted", F.col("field"))).otherwise(pointer("untrusted", F.col("field"), F.col("item")))
+    cut_off = is_cut(F.col("full"), F.col("limit"))
+    return cleaned.select(
+        *key, "field", "item", clip(F.col("full"), F.col("limit")).alias("value"), cut_off.alias("truncated"), F.when(cut_off, path).alias("pointer"))
 
 
-def _unix_trim(name: str) -> F.Column:
-    return trim_all(F.regexp_replace(F.col(name), r"\r\n?", "\n"))
+def detail_context(tables: Tables, parsed_pages: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Human context of the chosen relations; neighbours come without note bodies."""
+    key = ["catalog_id", "relation_id"]
+    wanted = chosen.select(*key).distinct()
+    limited = {name: tables[name].join(wanted, key, "left_semi") for name in ("relations", "columns")}
+    found = human_context(limited, parsed_pages.join(wanted, key, "left_semi"))
+    return chosen.select("catalog_id", "request_id", "relation_id", "is_neighbor").join(found, key).filter(
+        ~(F.col("is_neighbor") & (F.col("field") == "notes")))
+
+
+def detail_entries(chosen: DataFrame, subject: DataFrame) -> DataFrame:
+    """One head row per chosen relation: lifecycle state, context file, and whether notes are unreadable.
+
+    Relations known only by their page appear with their archived state and no structure lines.
+    """
+    facts = subject.select("catalog_id", "relation_id", F.col("due_state").alias("state"), F.col("path").alias("context_file"),
+                           (F.col("has_page") & ~F.coalesce("ok", F.lit(False))).alias("partial"))
+    return chosen.join(facts, ["catalog_id", "relation_id"], "left").withColumn("partial", F.col("partial") & ~F.col("is_neighbor"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.idents import trim_all
-from ..functions.text import prose
+from ..functions.text import clip, is_cut, prose
 from ..keys import OVERVIEW_LIMIT, PAGE_DEFAULT, PAGE_MAX, RELATION
 from ..operators import diff, rules
 from ..operators.pages import column_notes, subjects
@@ -32,13 +32,13 @@ def overview(tables: Tables, parsed_pages: DataFrame) -> DataFrame:
     page = diff.page_warnings(subject).select("catalog_id", "relation_id")
     warned = rule.unionByName(page).groupBy("catalog_id", "relation_id").agg(F.count(F.lit(1)).alias("warnings"))
     sized = tables["columns"].groupBy(*RELATION).agg(F.count(F.lit(1)).alias("columns"))
-    purpose = valid.select("catalog_id", "relation_id", prose(F.col("purpose"), OVERVIEW_LIMIT).alias("p"))
+    purpose = valid.select("catalog_id", "relation_id", prose(F.col("purpose")).alias("full"))
     return (
         tables["relations"].select(*RELATION, "kind")
         .join(sized, RELATION, "left").join(warned, ["catalog_id", "relation_id"], "left")
         .join(purpose, ["catalog_id", "relation_id"], "left")
         .select(*RELATION, "kind", F.coalesce("columns", F.lit(0)).alias("columns"), "warnings",
-                F.col("p.value").alias("purpose"), F.coalesce("p.truncated", F.lit(False)).alias("truncated"))
+                clip(F.col("full"), OVERVIEW_LIMIT).alias("purpose"), is_cut(F.col("full"), OVERVIEW_LIMIT).alias("truncated"))
     )
 
 

@@ -17,6 +17,7 @@ from .functions import secrets, text
 from .functions.idents import parse_name, quote_ident, trim_all
 from .keys import FIELD_LIMIT, OVERVIEW_LIMIT, RELATION, SNAPSHOT
 from .operators import diff, hashes, lines, pages, references, rules, scans
+from .operators.positions import number_within
 from .plans import detail as details
 from .plans import discovery, reports
 from .plans import drift as drifts
@@ -365,6 +366,18 @@ def detail(spark, folder):
     return details.detail(snapshot(spark, folder, LIVE), parsed(spark, folder), chosen(spark, folder))
 
 
+@query
+def detail_context(spark, folder):
+    found = details.detail_context(snapshot(spark, folder, LIVE), parsed(spark, folder), chosen(spark, folder))
+    return found.withColumn("value", F.sha2("value", 256))
+
+
+@query
+def detail_entries(spark, folder):
+    seeds = details.requested(resolution(spark, folder)[0])
+    return details.detail_entries(details.selection(snapshot(spark, folder, LIVE), seeds, related=True), subjects(spark, folder))
+
+
 @query
 def detail_external(spark, folder):
     return details.detail_external(snapshot(spark, folder, LIVE), chosen(spark, folder, related=False))
@@ -459,15 +472,16 @@ def snapshot_checks(spark, folder):
 
 @query
 def ordered_children(spark, folder):
-    """Lines of every order in order, as one text; every remaining column breaks ties."""
-    rest = ["l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus"]
-    line = spark.read.parquet(f"{folder}/lineitem.parquet").select("l_orderkey", *rest)
-    nested = line.groupBy("l_orderkey").agg(
-        scans.ordered_list(F.struct(*rest), F.concat_ws(":", "l_linenumber", "l_partkey", "l_suppkey")).alias("items"))
+    """Lines of every order with their position, parents without lines kept; every remaining column breaks ties.
+
+    Rows, not arrays: one order may hold any share of the lines.
+    """
+    rest = ["l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus", "l_extendedprice"]
+    lines_of = number_within(spark.read.parquet(f"{folder}/lineitem.parquet").select("l_orderkey", *rest), ["l_orderkey"], rest)
     orders = spark.read.parquet(f"{folder}/orders.parquet").select("o_orderkey", "o_custkey")
-    joined = orders.join(nested, orders.o_orderkey == nested.l_orderkey, "left")
-    items = F.coalesce("items", F.array().cast("array<string>"))
-    return joined.select("o_orderkey", "o_custkey", F.size(items).alias("n_items"), F.array_join(items, "|").alias("items"))
+    item = F.concat_ws(":", "l_linenumber", "l_partkey", "l_suppkey")
+    return orders.join(lines_of, orders.o_orderkey == lines_of.l_orderkey, "left").select(
+        "o_orderkey", "o_custkey", "position", F.when(F.col("position").isNotNull(), item).alias("item"))
 
 
 @query
@@ -481,24 +495,26 @@ def scoped_orders(spark, folder):
 
 @query
 def clean_documents(spark, folder):
-    """Every document cleaned, trimmed and clipped at the three limits."""
+    """Every document cleaned, trimmed and clipped at two limits."""
     documents = spark.read.parquet(f"{folder}/documents.parquet")
     # Mixed line ends and control characters, put there so that cleaning has work to do.
-    dirty = F.concat(F.lit("  \u0007"), F.regexp_replace("text", "\n", "\r\n"), F.lit("\u001b[31m\t\u00a0"))
-    field, brief = text.prose(dirty, FIELD_LIMIT), text.prose(F.col("text"), OVERVIEW_LIMIT)
-    return documents.select(
-        "doc_id", field["value"].alias("field"), field["truncated"].alias("field_cut"), brief["value"].alias("brief"), brief["truncated"].alias("brief_cut"),
-        F.length(text.clean_code(dirty)).alias("code_chars"), text.size_estimate(F.col("text")).alias("tokens"))
+    dirty = F.concat(F.lit("  \u0007"), F.replace("text", F.lit("\n"), F.lit("\r\n")), F.lit("\u001b[31m\t\u00a0"))
+    full = documents.select(
+        "doc_id", "text", text.prose(dirty).alias("full"), text.prose(F.col("text")).alias("plain"), F.length(text.clean_code(dirty)).alias("code_chars"))
+    return full.select(
+        "doc_id", text.clip(F.col("full"), FIELD_LIMIT).alias("field"), text.is_cut(F.col("full"), FIELD_LIMIT).alias("field_cut"),
+        text.clip(F.col("plain"), OVERVIEW_LIMIT).alias("brief"), text.is_cut(F.col("plain"), OVERVIEW_LIMIT).alias("brief_cut"),
+        "code_chars", text.size_estimate(F.col("text")).alias("tokens"))
 
 
 @query
 def truncated_documents(spark, folder):
     """Pointers of all cut fields per document: the truncation ledger."""
     documents = spark.read.parquet(f"{folder}/documents.parquet")
-    cut = lambda column, limit, *path: F.when(text.prose(column, limit)["truncated"], text.pointer("documents", F.col("doc_id"), *path))
-    ledger = F.array(cut(F.col("text"), FIELD_LIMIT, "text"), cut(F.col("text"), 8000, "a/b~c"), cut(F.col("source"), 4, F.col("source")))
-    kept = F.filter(ledger, lambda p: p.isNotNull())
-    return documents.select("doc_id", F.posexplode(kept).alias("position", "pointer"))
+    full = documents.select("doc_id", "source", text.prose(F.col("text")).alias("full"), text.prose(F.col("source")).alias("full_source"))
+    cut = lambda column, limit, *path: F.when(text.is_cut(column, limit), text.pointer("documents", F.col("doc_id"), *path))
+    ledger = F.array(cut(F.col("full"), FIELD_LIMIT, "text"), cut(F.col("full"), keys.LONG_LIMIT, "a/b~c"), cut(F.col("full_source"), 4, F.col("source")))
+    return full.select("doc_id", F.posexplode(F.filter(ledger, lambda p: p.isNotNull())).alias("position", "pointer"))
 
 
 @query

@@ -40,9 +40,8 @@ UNION ALL SELECT catalog_id, 'D', line FROM ddl""",
 
 SQL = {
     "ordered_children": """
-SELECT o_orderkey, o_custkey, CAST(count(l_orderkey) AS INTEGER) AS n_items,
-  coalesce(string_agg(l_linenumber || ':' || l_partkey || ':' || l_suppkey, '|' ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus), '') AS items
-FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_custkey""",
+SELECT o_orderkey, o_custkey, position, item FROM orders LEFT JOIN (SELECT l_orderkey, l_linenumber || ':' || l_partkey || ':' || l_suppkey AS item,
+  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus, l_extendedprice) AS position FROM lineitem) l ON l_orderkey = o_orderkey""",
     "scoped_orders": "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY'))",
     "clean_documents": f"""
 SELECT doc_id, {clip('f', 500)} AS field, coalesce(length(f) > 500, false) AS field_cut, {clip('b', 120)} AS brief, coalesce(length(b) > 120, false) AS brief_cut, CAST(code_chars AS INTEGER) AS code_chars,

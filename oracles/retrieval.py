@@ -96,6 +96,14 @@ SELECT catalog_id, 's2' AS snapshot_id, request_id, CAST(position AS INTEGER) AS
     "detail_selection": "SELECT * FROM chosen",
     "detail": """
 SELECT c.catalog_id, c.snapshot_id, c.request_id, c.is_neighbor, c.pos, c.relation_id, l.section, l.order_key, l.line FROM chosen c JOIN all_lines l ON l.catalog_id = c.catalog_id AND l.relation_id = c.relation_id""",
+    "detail_context": """
+SELECT c.catalog_id, c.request_id, c.relation_id, c.is_neighbor, x.field, x.item, sha256(x.value) AS value, x.truncated, x.pointer
+FROM chosen c JOIN context x ON x.catalog_id = c.catalog_id AND x.relation_id = c.relation_id WHERE NOT (c.is_neighbor AND x.field = 'notes')""",
+    "detail_entries": """
+SELECT c.*, s.due_state AS state, s.path AS context_file, s.has_page AND NOT coalesce(s.ok, false) AND NOT c.is_neighbor AS partial
+FROM (SELECT catalog_id, 's2' AS snapshot_id, request_id, relation_id, false AS is_neighbor, pos FROM asked
+  UNION ALL SELECT catalog_id, snapshot_id, request_id, relation_id, is_neighbor, pos FROM chosen WHERE is_neighbor) c
+LEFT JOIN subject s ON s.catalog_id = c.catalog_id AND s.relation_id = c.relation_id""",
     "detail_external": """
 SELECT DISTINCT o.catalog_id, 's2' AS snapshot_id, o.request_id, f.ref FROM own o JOIN live_fk f ON f.catalog_id = o.catalog_id AND f.relation_id = o.relation_id
 WHERE NOT EXISTS (SELECT 1 FROM live_rel r WHERE r.catalog_id = f.catalog_id AND r.relation_id = f.ref)""",
