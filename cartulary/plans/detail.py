@@ -30,12 +30,13 @@ def resolve_names(requests: DataFrame, known: DataFrame, scopes: DataFrame) -> t
         *key, qualified_id(F.col("schema"), F.get("parts", 0)).alias("relation_id"), "position")
     hits = two.unionByName(one).join(known.select("catalog_id", "relation_id"), ["catalog_id", "relation_id"], "left_semi")
     counted = hits.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("relation_id").alias("relation_id"))
-    resolved = parsed.join(counted, key, "left").select(
+    # Problems, accepted requests and the selection all read the result: evaluate it once.
+    resolved = cut(parsed.join(counted, key, "left").select(
         *key, "input",
         F.when(F.col("parts").isNull(), "invalid_name").when(F.col("n") == 1, "ok").when(F.col("n") > 1, "ambiguous_name")
         .otherwise("unknown_relation").alias("code"),
         F.when(F.col("n") == 1, F.col("relation_id")).alias("relation_id"),
-        F.lower(F.element_at("parts", -1)).alias("low_name"))
+        F.lower(F.element_at("parts", -1)).alias("low_name")))
     ambiguous = resolved.filter(F.col("code") == "ambiguous_name").select(*key).join(hits, key).select(*key, F.col("relation_id").alias("candidate"))
     similar = (
         resolved.filter(F.col("code") == "unknown_relation").select(*key, "low_name")

@@ -13,7 +13,7 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     Files without a readable ``"table"`` entry are not pages and are left out.
     """
     files = (
-        spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(path)
+        spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md")
         .select("value", F.col("_metadata.file_path").alias("path"))
     )
     quoted = F.regexp_extract("value", r'"table"\s*:\s*("(?:[^"\\]|\\.)*")', 1)

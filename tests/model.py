@@ -38,13 +38,19 @@ def index(rel, name, keys, include=(), valid=True, predicate=None, method="btree
     return (f"public.{rel}", name, method, parts, list(include), False, False, valid, predicate, constraint, f"CREATE INDEX {name}")
 
 
-def snapshot(spark, snapshot_id="s1", scopes=("public",), catalog="c", **tables):
-    """All snapshot tables; rows are given without the key columns."""
-    rows = {"scopes": [(s, i) for i, s in enumerate(scopes, 1)], **tables}
+def snapshots(spark, catalogs, snapshot_id="s1"):
+    """All snapshot tables of several catalogs at once; rows are given without the key columns."""
+    filled = {
+        catalog: {**tables, "scopes": [(s, i) for i, s in enumerate(tables.get("scopes", ("public",)), 1)]} for catalog, tables in catalogs.items()}
     made = {
-        name: spark.createDataFrame([(catalog, snapshot_id, *row) for row in rows.get(name, [])], schema) for name, schema in SCHEMAS.items()
+        name: spark.createDataFrame([(c, snapshot_id, *row) for c, tables in filled.items() for row in tables.get(name, [])], schema)
+        for name, schema in SCHEMAS.items()
     }
     made["referenced_by"] = referenced_by(made["foreign_keys"], made["relations"])
     made["hashes"] = relation_hashes(made)
     made["snapshots"] = revisions(made["hashes"], made["enums"], made["scopes"])
     return made
+
+
+def snapshot(spark, snapshot_id="s1", scopes=("public",), catalog="c", **tables):
+    return snapshots(spark, {catalog: {**tables, "scopes": scopes}}, snapshot_id)
