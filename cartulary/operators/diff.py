@@ -83,10 +83,14 @@ def enum_diff(stored: Tables, live: Tables, scopes: DataFrame, enum_hash: F.Colu
     )
 
 
-def refresh_diff(previous: DataFrame, current: DataFrame) -> DataFrame:
-    """Relation ids added, changed and removed between two captures, whatever the scope."""
-    old = previous.select(*RELATION, F.col("hash").alias("old"))
-    new = current.select(*RELATION, F.col("hash").alias("new"))
+def refresh_diff(previous: Tables, current: Tables) -> DataFrame:
+    """Relation ids added, changed and removed between two captures, whatever the scope.
+
+    A catalog's first capture adds nothing: there is nothing to compare with.
+    """
+    known = previous["snapshots"].select("catalog_id")
+    old = previous["hashes"].select(*RELATION, F.col("hash").alias("old"))
+    new = current["hashes"].select(*RELATION, F.col("hash").alias("new")).join(known, "catalog_id", "left_semi")
     return old.join(new, RELATION, "full").filter(~F.col("old").eqNullSafe(F.col("new"))).select(
         *RELATION, F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").otherwise("changed").alias("change"))
 

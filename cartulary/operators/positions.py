@@ -23,9 +23,11 @@ def number_within(df: DataFrame, group: list[str], order: list[str], name: str =
     )
     counts = ranged.groupBy(*group, "_part").agg(F.min("_seq").alias("_first"), F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*group, "_part", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    return (
-        ranged.join(offsets, group + ["_part"])
-        .withColumn(name, F.col("_seq") - F.col("_first") + F.col("_before") + 1)
-        .drop("_seq", "_part", "_first", "_before")
-    )
+    renamed = [F.col(g).alias(f"_group_{i}") for i, g in enumerate(group)]
+    offsets = counts.select(*renamed, F.col("_part").alias("_at"), "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    # Null-safe: rows without a group value form a group of their own.
+    same = F.col("_part") == F.col("_at")
+    for i, g in enumerate(group):
+        same = same & F.col(g).eqNullSafe(F.col(f"_group_{i}"))
+    return ranged.join(offsets, same).select(
+        *df.columns, (F.col("_seq") - F.col("_first") + F.col("_before") + 1).alias(name))

@@ -93,7 +93,7 @@ def page(df: DataFrame, order: list[str], limit: int = PAGE_DEFAULT, after: tupl
 def pages_of(df: DataFrame, group: list[str], order: list[str], limit: int = PAGE_DEFAULT) -> DataFrame:
     """Every row with its page number, for all groups at once."""
     numbered = number_within(df, group, order)
-    totals = df.groupBy(*group).agg(F.count(F.lit(1)).alias("total"))
+    totals = numbered.groupBy(*group).agg(F.max("position").alias("total"))
     at = F.floor((F.col("position") - 1) / limit)
     return numbered.join(totals, group).withColumn("page", at.cast("int")).withColumn(
         "next_position", F.when((at + 1) * limit < F.col("total"), ((at + 1) * limit).cast("bigint")))

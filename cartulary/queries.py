@@ -414,7 +414,7 @@ def enum_diff(spark, folder):
 
 @query
 def refresh_diff(spark, folder):
-    return diff.refresh_diff(snapshot(spark, folder, STORED)["hashes"], snapshot(spark, folder, LIVE)["hashes"])
+    return diff.refresh_diff(snapshot(spark, folder, STORED), snapshot(spark, folder, LIVE))
 
 
 @query
