@@ -6,12 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import blocks, hilbert, repetition
+from . import blocks, hilbert, packing, repetition
 from .base import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def tokenizer_file() -> str:
+    """The public vocabulary that the token queries use; the operators take its path as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_sum_of_squares_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.packed(documents(spark, folder), tokenizer_file())
+
+
 def op6_hilbert_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return hilbert.hilbert_shards(documents(spark, folder))
 
@@ -24,4 +35,4 @@ def op10_block_naming(spark: SparkSession, folder: str) -> DataFrame:
     return blocks.exact_groups(documents(spark, folder))
 
 
-REGISTRY: dict[str, Query] = {f.__name__: f for f in (op6_hilbert_sharding, op7_repetition_rules, op10_block_naming)}
+REGISTRY: dict[str, Query] = {f.__name__: f for f in (op1_sum_of_squares_packing, op6_hilbert_sharding, op7_repetition_rules, op10_block_naming)}
