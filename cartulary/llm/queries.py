@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import blocks, bpe, hilbert, packing, repetition
+from . import archives, blocks, bpe, hilbert, packing, repetition
 from .base import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,10 @@ def op1_sum_of_squares_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed(documents(spark, folder), tokenizer_file())
 
 
+def op2_zip_archives(spark: SparkSession, folder: str) -> DataFrame:
+    return archives.archived(spark.read.parquet(f"{folder}/pages.parquet"))
+
+
 def op3_batched_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.coded(documents(spark, folder), tokenizer_file())
 
@@ -39,4 +43,4 @@ def op10_block_naming(spark: SparkSession, folder: str) -> DataFrame:
     return blocks.exact_groups(documents(spark, folder))
 
 
-REGISTRY: dict[str, Query] = {f.__name__: f for f in (op1_sum_of_squares_packing, op3_batched_bpe, op6_hilbert_sharding, op7_repetition_rules, op10_block_naming)}
+REGISTRY: dict[str, Query] = {f.__name__: f for f in (op1_sum_of_squares_packing, op2_zip_archives, op3_batched_bpe, op6_hilbert_sharding, op7_repetition_rules, op10_block_naming)}
