@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archives, blocks, bpe, hilbert, packing, repetition
+from . import archives, blocks, bpe, hilbert, minhash, packing, repetition
 from .base import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,10 @@ def op3_batched_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.coded(documents(spark, folder), tokenizer_file())
 
 
+def op4_bottom_k_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_groups(documents(spark, folder))
+
+
 def op6_hilbert_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return hilbert.hilbert_shards(documents(spark, folder))
 
@@ -43,4 +47,4 @@ def op10_block_naming(spark: SparkSession, folder: str) -> DataFrame:
     return blocks.exact_groups(documents(spark, folder))
 
 
-REGISTRY: dict[str, Query] = {f.__name__: f for f in (op1_sum_of_squares_packing, op2_zip_archives, op3_batched_bpe, op6_hilbert_sharding, op7_repetition_rules, op10_block_naming)}
+REGISTRY: dict[str, Query] = {f.__name__: f for f in (op1_sum_of_squares_packing, op2_zip_archives, op3_batched_bpe, op4_bottom_k_near_dedup, op6_hilbert_sharding, op7_repetition_rules, op10_block_naming)}
