@@ -16,6 +16,10 @@ from ..session import shared_folder
 BLANKS = " \t\n\x0b\x0c\r"
 #: Bytes of text that a task looks at together; one longer text is a piece of its own.
 PIECE = 2 << 20
+#: Stands for a null key: it comes last.
+NONE = (1 << 63) - 1
+#: Bits of the map that tells which rows are looked at again.
+SLOTS = 1 << 26
 
 
 def place(spark: SparkSession, name: str) -> str:
@@ -30,15 +34,17 @@ def land(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+def numbered(df: DataFrame, order: list[str], name: str, by: list[str] | None = None) -> DataFrame:
     """0-based position of each row in the whole order, with no task that sees all rows.
 
+    ``by``: the first columns of ``order``, where they are enough to part the rows.
+
     Range partitions are sorted and landed; a row's number is its place in its
     partition plus the rows of earlier partitions. Only one count per partition
     meets in a window.
     """
     ranged = land(
-        df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__seq", F.monotonically_increasing_id()), name)
+        df.repartitionByRange(*(by or order)).sortWithinPartitions(*order).withColumn("__seq", F.monotonically_increasing_id()), name)
     ranged = ranged.withColumn("__part", F.shiftright("__seq", 33))
     counts = ranged.groupBy("__part").agg(F.min("__seq").alias("__first"), F.count(F.lit(1)).alias("__n"))
     earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
@@ -46,6 +52,25 @@ def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
     return ranged.join(offsets, "__part").select(*df.columns, (F.col("__seq") - F.col("__first") + F.col("__before")).alias(name))
 
 
+def marked(rows: DataFrame, key: str, members: DataFrame, member: str) -> DataFrame:
+    """``rows`` with ``__maybe``: false only where ``key`` is not among ``members``.
+
+    This lets most rows go their way without a shuffle. The members set bits of
+    a map of ``SLOTS`` bits, in rows of 4 KB, which is the bound of what is
+    broadcast; when many bits are set more rows say maybe, and a join on the
+    key decides.
+    """
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS))
+    bits = members.select(slot(member).alias("__slot")).groupBy(F.bitmap_bucket_number("__slot").alias("__bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("__slot")).alias("__bits"))
+    asked = rows.withColumn("__slot", slot(key))
+    met = asked.join(F.broadcast(bits), F.bitmap_bucket_number("__slot") == F.col("__bucket"), "left")
+    at = F.bitmap_bit_position("__slot")
+    byte = F.conv(F.hex(F.substring("__bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    bit = F.floor(byte / F.pow(F.lit(2), at % 8)) % 2 == 1
+    return met.select(*rows.columns, F.coalesce(bit, F.lit(False)).alias("__maybe"))
+
+
 def pieces(batches: Iterator[pa.RecordBatch], text: str, limit: int = PIECE) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into runs of rows whose texts have ``limit`` bytes at most (one row at least)."""
     for batch in batches:

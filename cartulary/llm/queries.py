@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archives, blocks, bpe, classifier, hilbert, minhash, packing, repetition
+from . import archives, blocks, bpe, classifier, hilbert, minhash, packing, repetition, suffixes
 from .base import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +43,10 @@ def op7_repetition_rules(spark: SparkSession, folder: str) -> DataFrame:
     return repetition.judged(documents(spark, folder))
 
 
+def op8_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixes.trimmed(documents(spark, folder))
+
+
 def op9_subword_classifier(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet")
     return classifier.scored(docs, classifier.train(docs, labels))
@@ -52,4 +56,4 @@ def op10_block_naming(spark: SparkSession, folder: str) -> DataFrame:
     return blocks.exact_groups(documents(spark, folder))
 
 
-REGISTRY: dict[str, Query] = {f.__name__: f for f in (op1_sum_of_squares_packing, op2_zip_archives, op3_batched_bpe, op4_bottom_k_near_dedup, op6_hilbert_sharding, op7_repetition_rules, op9_subword_classifier, op10_block_naming)}
+REGISTRY: dict[str, Query] = {f.__name__: f for f in (op1_sum_of_squares_packing, op2_zip_archives, op3_batched_bpe, op4_bottom_k_near_dedup, op6_hilbert_sharding, op7_repetition_rules, op8_suffix_array_dedup, op9_subword_classifier, op10_block_naming)}
