@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archives, blocks, bpe, classifier, hilbert, minhash, packing, repetition, suffixes
+from . import archives, blocks, bpe, classifier, hilbert, minhash, mixing, packing, repetition, suffixes
 from .base import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,10 @@ def op4_bottom_k_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_groups(documents(spark, folder))
 
 
+def op5_context_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.scored(documents(spark, folder))
+
+
 def op6_hilbert_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return hilbert.hilbert_shards(documents(spark, folder))
 
@@ -56,4 +60,4 @@ def op10_block_naming(spark: SparkSession, folder: str) -> DataFrame:
     return blocks.exact_groups(documents(spark, folder))
 
 
-REGISTRY: dict[str, Query] = {f.__name__: f for f in (op1_sum_of_squares_packing, op2_zip_archives, op3_batched_bpe, op4_bottom_k_near_dedup, op6_hilbert_sharding, op7_repetition_rules, op8_suffix_array_dedup, op9_subword_classifier, op10_block_naming)}
+REGISTRY: dict[str, Query] = {f.__name__: f for f in (op1_sum_of_squares_packing, op2_zip_archives, op3_batched_bpe, op4_bottom_k_near_dedup, op5_context_mixing, op6_hilbert_sharding, op7_repetition_rules, op8_suffix_array_dedup, op9_subword_classifier, op10_block_naming)}
