@@ -4,8 +4,8 @@ A passage is a string of ``WIDTH`` bytes. Where it occurs again, all its
 occurrences hold the same anchor: a short string whose hash is smallest in the
 window. So texts meet by anchors, not by all their suffixes:
 
-1. One pass gives the anchors of each text, with a hash of the context that all
-   windows around the anchor lie in.
+1. One pass gives the anchors of each text, with a hash of the context: the
+   bytes of all windows that have this anchor.
 2. Anchors that occur once are done. If an anchor has one context everywhere,
    all occurrences but the first are repeated as a whole.
 3. The first occurrence of each of several contexts goes, as bytes, to a shard
@@ -35,7 +35,7 @@ ANCHOR = 24
 #: Contexts of an anchor that go to one shard at most.
 MANY = 1000
 #: Bytes of contexts that are sorted together.
-SHARD = 4 << 20
+SHARD = 2 << 20
 
 
 # --- numpy -------------------------------------------------------------------
@@ -66,10 +66,17 @@ def anchors(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH, size: int
     np.add.at(bad, np.clip(borders, 0, len(low)), -1)
     low[np.cumsum(bad[:-1]) > 0] = 0
     padded = np.concatenate((np.zeros(span - 1, flat.U), low, np.zeros(span - 1, flat.U)))
-    at = np.flatnonzero(grams == _slide(padded, span, np.maximum))
-    doc = np.searchsorted(offsets, at, "right") - 1
-    begin = np.maximum(at - (width - size), offsets[doc])
-    end = np.minimum(at + width, offsets[doc + 1])
+    able = np.flatnonzero(grams == _slide(padded, span, np.maximum))
+    # The leftmost smallest place of each window; it never moves back from a window to the next.
+    starts = np.flatnonzero(low)
+    number = np.searchsorted(able, starts)
+    wrong = np.flatnonzero(grams[able[number]] != low[starts])
+    while len(wrong):
+        number[wrong] += 1
+        wrong = wrong[grams[able[number[wrong]]] != low[starts[wrong]]]
+    at = able[number]
+    first = flat.runs(at)
+    at, begin, end = at[first], starts[first], starts[np.append(first[1:], len(starts)) - 1] + width
     # The place of the anchor in its context is part of what must agree.
     context = flat.mix(flat.ranges(sums, begin, end) + (at - begin).astype(flat.U))
     return at, grams[at], begin, end, context
@@ -271,7 +278,9 @@ def repeats(rows: DataFrame, width: int = WIDTH, many: int = MANY) -> DataFrame:
     found = _anchor_rows(rows, width)
     place = F.struct("__id", "at")
     shared = found.groupBy("a").agg(F.count(F.lit(1)).alias("__n"), F.min("c").alias("__c0"), F.max("c").alias("__c1"), F.min(place).alias("__first")).filter("__n > 1")
-    met = land(found.join(shared.drop("__n"), "a"), "anchors")
+    shared = land(shared.drop("__n"), "shared")
+    asked = marked(found, "a", shared, "a").filter("__maybe").drop("__maybe")
+    met = land(asked.join(shared, "a"), "anchors")
     one = met.filter("__c0 = __c1").filter(F.struct("__id", "at") != F.col("__first")).select("__id", "lo", "hi")
     several = met.filter("__c0 != __c1").select("a", "c", "__id", "at", "lo", "hi")
     firsts = several.groupBy("a", "c").agg(F.min(F.struct("__id", "at", "lo", "hi")).alias("f"))
