@@ -38,7 +38,9 @@ def names(candidates: DataFrame, block: int = BLOCK) -> DataFrame:
     last = F.greatest(F.lit(0), F.floor((F.col("__len") - 1) / block)).cast("int")
     cut = F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(F.col("__norm"), i * block + 1, F.lit(block)))
     parts = candidates.select(*keys, F.posexplode(cut).alias("__at", "__block"))
-    level = numbered(parts.select("__block").distinct(), ["__block"], "__name")
+    # Sorted by first characters, then by hash, then whole: only short values are sampled for the ranges.
+    distinct = parts.select("__block").distinct().withColumns({"__head": F.substring("__block", 1, 16), "__mark": F.xxhash64("__block")})
+    level = numbered(distinct, ["__head", "__mark", "__block"], "__name", by=["__head", "__mark"]).select("__block", "__name")
     rows = land(parts.join(level, "__block").select(*keys, "__at", "__name"), "names")
     longest = rows.agg(F.max("__at")).first()[0] or 0
     while longest > 0:
@@ -71,14 +73,14 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", block
     named = _same(small, names(candidates, block), ["__doc", "__len", "__sig"], "left")
     named = land(named, "identities")
     order = F.struct((-F.col("__chars")).alias("c"), F.col("__doc").isNull().alias("n"), F.col("__doc").alias("d"))
-    groups = named.filter(F.col("__name").isNotNull()).groupBy("__name").agg(
-        F.count(F.lit(1)).alias("__size"), F.min(order)["d"].alias("__keep"))
-    out = named.join(groups, "__name", "left")
-    alone = F.col("__size").isNull()
-    keep = F.when(alone, F.col("__doc")).otherwise(F.col("__keep"))
+    several = named.filter(F.col("__name").isNotNull())
+    groups = several.groupBy("__name").agg(F.count(F.lit(1)).alias("__size"), F.min(order)["d"].alias("__keep"))
+    # Documents without a name have no part in the join: their null keys would meet in one task.
+    alone = named.filter(F.col("__name").isNull()).withColumns({"__size": F.lit(1).cast("long"), "__keep": F.col("__doc")})
+    out = several.join(groups, "__name").unionByName(alone)
     return out.select(
-        F.col("__doc").alias(key), keep.alias("keep_id"), F.coalesce("__size", F.lit(1)).cast("long").alias("group_size"),
-        F.col("__doc").eqNullSafe(keep).alias("kept"), F.col("__sha").alias("text_sha256"))
+        F.col("__doc").alias(key), F.col("__keep").alias("keep_id"), F.col("__size").alias("group_size"),
+        F.col("__doc").eqNullSafe(F.col("__keep")).alias("kept"), F.col("__sha").alias("text_sha256"))
 
 
 def drop_exact(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
