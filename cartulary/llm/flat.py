@@ -120,3 +120,13 @@ def runs(ordered: np.ndarray) -> np.ndarray:
     if not len(ordered):
         return np.empty(0, np.int64)
     return np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+
+
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct values, where one of each stands, and each value's number among them."""
+    order = np.argsort(values)
+    ordered = values[order]
+    begin = runs(ordered)
+    inverse = np.empty(len(values), np.int64)
+    inverse[order] = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(values))))
+    return ordered[begin], order[begin], inverse

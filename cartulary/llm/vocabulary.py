@@ -36,7 +36,7 @@ class ChunkIds:
         """For each word of the texts, its chunk's number in ``offsets``."""
         if len(self.known) > self.memory:
             self._clear()
-        unique, first, inverse = np.unique(words.hash, return_index=True, return_inverse=True)
+        unique, first, inverse = flat.distinct(words.hash)
         at = np.searchsorted(self.known, unique)
         at[at == len(self.known)] = 0
         new = self.known[at] != unique if len(self.known) else np.ones(len(unique), bool)
@@ -68,11 +68,15 @@ class ChunkIds:
 def library_encoder(path: str) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
     """Encode distinct chunks by the tokenizers library, many in one call.
 
-    Chunks are joined by a special token, whose id then parts their ids: the
-    library splits at special tokens before it does anything else. A chunk that
-    itself has the mark of special tokens is encoded alone.
+    Chunks are joined by spaces. The last token of each pre-token carries the
+    word end, so a chunk's ids are found by counting its pre-tokens. A chunk
+    with the marks of special tokens is encoded alone.
     """
+    import json
     import os
+    import unicodedata
+
+    import regex
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -80,26 +84,35 @@ def library_encoder(path: str) -> Callable[[list[str]], tuple[np.ndarray, np.nda
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
-    border = "<|endoftext|>"
-    border_id = tokenizer.token_to_id(border)
+    with open(path, encoding="utf-8") as file:
+        told = json.load(file)
+    end = told["model"]["end_of_word_suffix"]
+    vocab = tokenizer.get_vocab()
+    ends = np.zeros(max(vocab.values()) + 1, bool)
+    ends[[i for t, i in vocab.items() if t.endswith(end)]] = True
+    pattern = next(p["pattern"]["Regex"] for p in told["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
+    split = regex.compile(pattern.replace(r"\s", r"\p{White_Space}"))
+
+    def parts_of(chunk: str) -> int:
+        return 1 if chunk.isascii() and chunk.isalpha() else len(split.findall(unicodedata.normalize("NFC", chunk).lower()))
 
     def encode(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        plain = [c if "<|" not in c and "|>" not in c else "" for c in chunks]
-        flats, sizes = [], np.zeros(len(chunks), np.int64)
-        for i in range(0, len(plain), 2000):
-            part = plain[i : i + 2000]
-            ids = np.array(tokenizer.encode(border.join(part), add_special_tokens=False).ids, np.int32)
-            cuts = np.flatnonzero(ids == border_id)
-            sizes[i : i + len(part)] = np.diff(np.concatenate(([-1], cuts, [len(ids)]))) - 1
-            flats.append(ids[ids != border_id])
-        ids = np.concatenate(flats) if flats else np.empty(0, np.int32)
-        odd = [i for i, c in enumerate(chunks) if c and not plain[i]]
-        if odd:
-            offsets = np.concatenate(([0], np.cumsum(sizes)))
-            own = {i: np.array(tokenizer.encode(chunks[i], add_special_tokens=False).ids, np.int32) for i in odd}
+        odd = [i for i, c in enumerate(chunks) if "<|" in c or "|>" in c]
+        own = {i: np.array(tokenizer.encode(chunks[i], add_special_tokens=False).ids, np.int32) for i in odd}
+        plain = ["" if i in own else c for i, c in enumerate(chunks)] if own else chunks
+        joined = [" ".join(plain[i : i + 500]) for i in range(0, len(plain), 500)]
+        found = [np.array(e.ids, np.int32) for e in tokenizer.encode_batch_fast(joined, add_special_tokens=False)]
+        ids = np.concatenate(found) if found else np.empty(0, np.int32)
+        counts = np.cumsum(np.array([parts_of(c) if c else 0 for c in plain], np.int64))
+        borders = np.concatenate(([0], np.flatnonzero(ends[ids]) + 1))
+        offsets = np.concatenate(([0], borders[counts]))
+        if offsets[-1] != len(ids):
+            raise ValueError("the library's pre-tokens are not the expected ones")
+        if own:
             ids = np.concatenate([own.get(i, ids[offsets[i] : offsets[i + 1]]) for i in range(len(chunks))])
-            for i, found in own.items():
-                sizes[i] = len(found)
-        return ids, np.concatenate(([0], np.cumsum(sizes)))
+            sizes = np.diff(offsets)
+            sizes[odd] = [len(own[i]) for i in odd]
+            offsets = np.concatenate(([0], np.cumsum(sizes)))
+        return ids, offsets
 
     return encode
