@@ -9,10 +9,11 @@
 3. Each list links its members to its smallest one: overlaps are filtered by
    the estimate from the union's sketch, then verified on full shingle sets.
    Verified links make components; a list inside one component is done.
-4. Members of the other lists are compared exactly: their whole sets, ordered
-   by frequency, make lists by the first ``n - t + 1`` shingles, and lists are
-   compared in tiles of bounded size, only across components. No pair is left
-   out and no table of all pairs is made.
+4. Members of the other lists are compared across components only. Short lists
+   give their pairs, a bounded number for each entry. For long ones the whole
+   sets of their members, ordered by frequency, make lists by the first
+   ``n - t + 1`` shingles, and what is still long is compared in tiles of
+   bounded size. No pair is left out and no table of all pairs is made.
 """
 
 from __future__ import annotations
@@ -26,14 +27,14 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from . import flat
-from .base import column, land, pieces, texts
+from .base import NONE, column, land, marked, pieces, texts
 from .components import components
 
-K = 48
+K = 32
 SIGMAS = 5
 TILE = 256
-#: Stands for a null key: it comes last.
-NONE = (1 << 63) - 1
+#: Lists with so many members at most are paired directly, longer ones in tiles.
+SHORT = 32
 
 
 def shingle_sets(batch: pa.RecordBatch, n: int) -> list[np.ndarray]:
@@ -74,15 +75,30 @@ def sketches(rows: DataFrame, n: int, k: int) -> DataFrame:
     return rows.select("__id", "__text").mapInArrow(run, schema)
 
 
+def pack(values: np.ndarray) -> bytes:
+    """The upper six bytes of each hash."""
+    return (values >> flat.U(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpack(data) -> np.ndarray:
+    wide = np.zeros((len(data) // 6, 8), np.uint8)
+    wide[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return wide.view("<u8").reshape(-1)
+
+
 def full_sets(rows: DataFrame, n: int) -> DataFrame:
-    """``id, n, set``: whole shingle sets, 8 bytes a shingle."""
+    """``id, n, set``: whole shingle sets, 48 bits of hash a shingle.
+
+    Two texts of a thousand shingles have a false common one with a
+    probability of some 10^-9.
+    """
     schema = StructType([StructField("id", LongType()), StructField("n", LongType()), StructField("set", BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, "__text"):
             sets = shingle_sets(piece, n)
             yield pa.RecordBatch.from_arrays(
-                [column(piece, "__id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "n", "set"])
+                [column(piece, "__id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([pack(s) for s in sets], pa.binary())], ["id", "n", "set"])
 
     return rows.select("__id", "__text").mapInArrow(run, schema)
 
@@ -133,7 +149,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             keep = []
             for x, y in zip(column(batch, "sa"), column(batch, "sb")):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                x, y = unpack(x.as_buffer()), unpack(y.as_buffer())
                 both = np.concatenate((x, y))
                 both.sort()
                 common = int((both[1:] == both[:-1]).sum())
@@ -167,6 +183,19 @@ def tile_links(left: list[np.ndarray], right: list[np.ndarray], percent: int) ->
     return np.nonzero(100 * common >= percent * (sizes[0][:, None] + sizes[1][None, :] - common))
 
 
+def _open(entries: DataFrame) -> DataFrame:
+    """The lists ``value, cls, comp`` with more than one component, and their ``__size``; landed."""
+    open_ = entries.groupBy("value").agg(F.min("comp").alias("__lo"), F.max("comp").alias("__hi"), F.count(F.lit(1)).alias("__size"))
+    return land(entries.join(open_.filter("__lo != __hi").select("value", "__size"), "value"), "open")
+
+
+def _short_pairs(entries: DataFrame) -> DataFrame:
+    """Distinct pairs ``a, b`` across components in the lists with ``SHORT`` members at most: a bounded number for each entry."""
+    short = entries.filter(F.col("__size") <= SHORT)
+    one, two = short.select("value", F.col("cls").alias("a"), F.col("comp").alias("__ca")), short.select("value", F.col("cls").alias("b"), F.col("comp").alias("__cb"))
+    return one.join(two, "value").filter("a < b and __ca != __cb").select("a", "b").distinct()
+
+
 def _across(entries: DataFrame, sets: DataFrame, percent: int, tile: int = TILE) -> DataFrame:
     """Links ``a, b`` between members of a list ``value, cls, comp`` in different components.
 
@@ -198,7 +227,7 @@ def _across(entries: DataFrame, sets: DataFrame, percent: int, tile: int = TILE)
         sides = [frame[frame["side"] == s] for s in (0, 1)]
         if not (len(sides[0]) and len(sides[1])):
             return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        i, j = tile_links(*([np.frombuffer(x, np.uint64) for x in s["set"]] for s in sides), percent)
+        i, j = tile_links(*([unpack(x) for x in s["set"]] for s in sides), percent)
         a, b = sides[0]["cls"].to_numpy()[i], sides[1]["cls"].to_numpy()[j]
         cross = sides[0]["comp"].to_numpy()[i] != sides[1]["comp"].to_numpy()[j]
         return pd.DataFrame({"a": a[cross], "b": b[cross]}).drop_duplicates()
@@ -219,9 +248,9 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     """
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NONE)).alias("__id"), F.col(text).alias("__text"))
     found = land(sketches(rows, n, k), "sketches")
-    classes = found.filter("n_shingles > 0").groupBy("__a", "__b").agg(F.min("__id").alias("cls"), F.min_by("__sketch", "__id").alias("sketch"))
-    classes = land(classes, "classes")
-    items = classes.select("cls", F.size("sketch").alias("size"), F.explode("sketch").alias("value"))
+    groups = found.filter("n_shingles > 0").groupBy("__a", "__b").agg(F.min("__id").alias("cls"), F.min_by("__sketch", "__id").alias("sketch"))
+    groups = land(groups, "classes")
+    items = groups.select("cls", F.size("sketch").alias("size"), F.explode("sketch").alias("value"))
     lists = prefix_lists(items, F.col("size"), needed(F.col("size"), k, percent))
     heads = land(lists, "lists")
     hubs = heads.groupBy("value").agg(F.min("cls").alias("a"), F.count(F.lit(1)).alias("__n")).filter("__n > 1").select("value", "a")
@@ -229,23 +258,25 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     pairs = entries.filter("cls != hub").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct()
 
     members = entries.select("cls").distinct()
-    chosen = rows.join(members, rows["__id"] == members["cls"], "left_semi")
-    sets = land(full_sets(chosen, n).dropDuplicates(["id", "set"]), "sets")
+    sets = land(full_sets(marked(rows, "__id", members, "cls").filter("__maybe"), n), "sets")
+    classes = land(groups.join(members.withColumnRenamed("cls", "__m"), F.col("cls") == F.col("__m"), "left_semi"), "members")
     links = land(_verified(_estimate(pairs, classes, k, percent), sets, percent), "links")
 
     label = components(links)
-    comp = F.coalesce("component", "cls")
-    known = entries.select("value", "cls").join(label, F.col("cls") == F.col("node"), "left").select("value", "cls", comp.alias("comp"))
-    open_lists = known.groupBy("value").agg(F.min("comp").alias("__lo"), F.max("comp").alias("__hi")).filter("__lo != __hi").select("value")
-    left = land(known.join(open_lists, "value").select("cls", "comp").distinct(), "open")
-    own = sets.join(left, F.col("id") == F.col("cls"))
-    shingles = own.select("cls", F.col("n").alias("size"), F.explode(_longs(F.col("set"))).alias("value"))
+    known = entries.select("value", "cls").join(label, F.col("cls") == F.col("node"), "left").select(
+        "value", "cls", F.coalesce("component", "cls").alias("comp"))
+    open_lists = _open(known)
+    left = land(open_lists.filter(F.col("__size") > SHORT).select("cls", "comp").distinct(), "open")
+    shingles = sets.join(left, F.col("id") == F.col("cls")).select("cls", F.col("n").alias("size"), F.explode(_longs(F.col("set"))).alias("value"))
     exact = prefix_lists(shingles, F.col("size"), F.floor((F.col("size") * percent + 99) / 100))
-    more = _across(exact.join(left, "cls").select("value", "cls", "comp"), sets, percent)
-    every = land(links.unionByName(more).distinct(), "links")
+    exact = _open(exact.join(left, "cls").select("value", "cls", "comp"))
+    short = _short_pairs(open_lists).unionByName(_short_pairs(exact)).distinct()
+    more = _verified(_estimate(short, classes, k, percent), sets, percent)
+    tiled = _across(exact.filter(F.col("__size") > SHORT).drop("__size"), sets, percent)
+    every = land(links.unionByName(more).unionByName(tiled).distinct(), "links")
 
     label = components(every)
-    out = found.join(classes.select("__a", "__b", "cls"), ["__a", "__b"], "left").join(label, F.col("cls") == F.col("node"), "left")
+    out = found.join(groups.select("__a", "__b", "cls"), ["__a", "__b"], "left").join(label, F.col("cls") == F.col("node"), "left")
     reached = F.when(F.col("n_shingles") > 0, F.coalesce("component", "cls")).otherwise(F.col("__id"))
     real = lambda c: F.when(c != NONE, c).cast(docs.schema[key].dataType)
     return out.select(
@@ -253,9 +284,9 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
 
 
 def _longs(data: F.Column) -> F.Column:
-    """The 8-byte numbers in binary data."""
-    at = F.sequence(F.lit(0), (F.octet_length(data) / 8 - 1).cast("int"))
-    return F.transform(at, lambda i: F.xxhash64(F.substring(data, i * 8 + 1, F.lit(8))))
+    """A number for each six bytes of a packed set."""
+    at = F.sequence(F.lit(0), (F.octet_length(data) / 6 - 1).cast("int"))
+    return F.transform(at, lambda i: F.xxhash64(F.substring(data, i * 6 + 1, F.lit(6))))
 
 
 def drop_near(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
