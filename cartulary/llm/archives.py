@@ -52,7 +52,7 @@ class StoredZip:
         tail_at = max(0, size - (1 << 16) - 22 - 20 - 56)
         tail = self._read(tail_at, size - tail_at)
         at = tail.rfind(b"PK\5\6")
-        while at >= 0 and at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != len(tail):
+        while at >= 0 and (at + 22 > len(tail) or at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != len(tail)):
             at = tail.rfind(b"PK\5\6", 0, at)
         if at < 0:
             raise ValueError("not a ZIP file: no end of central directory")

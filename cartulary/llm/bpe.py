@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from . import flat
 from .base import column, pieces, texts
@@ -150,7 +150,7 @@ def coded(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "tex
     names = ["n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else [])]
     schema = StructType([StructField(key, docs.schema[key].dataType), StructField("n_tokens", LongType()), *(StructField(c, StringType()) for c in names[1:3])])
     if with_ids:
-        schema = schema.add("ids", "array<int>")
+        schema = schema.add("ids", ArrayType(IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = WordBpe(tokenizer)
