@@ -7,7 +7,8 @@ from pyspark.sql import Column, functions as F
 UNPARSEABLE = "<database url>"
 # Query parameters whose names contain one of these can carry credentials.
 _SECRET_NAME = "(?i)pass|secret|key|token|cert"
-_USER_INFO = r"\A([A-Za-z][A-Za-z0-9+.-]*://[^/?#@:]*):([^/?#@]+)@"
+# A password may itself hold an @: user information ends at the last one before the path.
+_USER_INFO = r"\A([A-Za-z][A-Za-z0-9+.-]*://[^/?#@:]*):([^/?#]+)@"
 _URL = r"(?s)\A[A-Za-z][A-Za-z0-9+.-]*://[^\s/?#]+(?:[/?#]\S*)?\z"
 
 
@@ -22,7 +23,9 @@ def _query(url: Column) -> Column:
 
 
 def _pair_name(pair: Column) -> Column:
-    return F.substring_index(pair, "=", 1)
+    """The parameter's name, decoded where it can be."""
+    name = F.substring_index(pair, "=", 1)
+    return F.coalesce(F.try_url_decode(name), name)
 
 
 def redact_url(url: Column) -> Column:

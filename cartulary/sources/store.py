@@ -16,7 +16,8 @@ def land(df: DataFrame, path: str) -> DataFrame:
     """Write ``df`` and return the stored table; partitioned by snapshot where it has one."""
     writer = df.write.mode("overwrite")
     if "snapshot_id" in df.columns:
-        writer = writer.partitionBy("snapshot_id")
+        # Only the snapshots written are replaced; others in the folder stay.
+        writer = writer.partitionBy("snapshot_id").option("partitionOverwriteMode", "dynamic")
     writer.parquet(path)
     stored = df.sparkSession.read.schema(df.schema).parquet(path)
     return stored.select(*df.columns)

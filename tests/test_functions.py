@@ -118,3 +118,15 @@ def test_lane_digest_ignores_order_and_sees_content(spark):
 
     assert digest(["a", "b", "c"]) == digest(["c", "a", "b"])
     assert len({digest(["a"]), digest(["a", "a"]), digest(["b"]), digest(["a", "b"])}) == 4
+
+
+def test_secrets_with_at_signs_and_encoded_names(spark):
+    from cartulary.functions import secrets
+    from pyspark.sql import functions as F
+
+    urls = ["db://me:a@b@host/x@y", "db://host/x?p%61ssword=s3cret&mode=a", "db://host/x?to+ken=s3cret"]
+    frame = spark.createDataFrame([(u,) for u in urls], "u string")
+    told = [tuple(r) for r in frame.select(
+        secrets.redact_url(F.col("u")), secrets.scrub_secrets(F.concat(F.lit("at a@b or s3cret: "), F.col("u")), F.col("u"))).collect()]
+    assert [t[0] for t in told] == ["db://me:***@host/x@y", "db://host/x?mode=a", "db://host/x?to+ken=s3cret"]
+    assert "a@b" not in told[0][1] and "s3cret" not in told[1][1]
