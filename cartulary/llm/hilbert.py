@@ -31,7 +31,7 @@ def borders(rows: DataFrame, dims: list[str], bits: int = BITS) -> dict[str, lis
 
 def _below(value: F.Column, limits: list[int]) -> F.Column:
     """How many of ``limits`` lie below ``value``."""
-    return F.size(F.filter(F.array(*map(F.lit, limits)), lambda b: b < value)) if limits else F.lit(0)
+    return F.size(F.filter(F.array(*map(F.lit, limits)), lambda b: b < value))
 
 
 def curve(rows: DataFrame, levels: list[str], bits: int, name: str) -> DataFrame:
@@ -84,8 +84,11 @@ def hilbert_shards(docs: DataFrame, key: str = "doc_id", text: str = "text", tag
     rows = rows.withColumn("__d1", F.col("__size"))
     dims = [f"__d{i}" for i in range(len(tags) + 2)]
     found = borders(rows, dims, bits)
-    level = {d: _below(F.col(d), found[d]) for d in dims}
-    placed = curve(rows.withColumns(level), dims, bits, "__curve").select("__key", "__size", "__crc", "__curve")
+    if all(found.values()):
+        placed = curve(rows.withColumns({d: _below(F.col(d), found[d]) for d in dims}), dims, bits, "__curve")
+    else:  # only an empty table has no quantiles
+        placed = rows.withColumn("__curve", F.lit(0).cast("long"))
+    placed = placed.select("__key", "__size", "__crc", "__curve")
     ranked = numbered(placed, ["__curve", "__key", "__size", "__crc"], "__rank")
     n = max(ranked.count(), 1)
     shard = F.expr(f"__rank * {shards} div {n}")
