@@ -345,4 +345,4 @@ def test_null_and_repeated_keys(spark):
     assert found == [(0, 0, 1, True), (0, 0, 3, True), (4, 0, 3, False), (4, 0, 3, False)]
     assert packing.packed(rows, tokenizer_file()).count() >= 4
     assert suffixes.trimmed(rows).count() == repetition.judged(rows).count() == mixing.scored(rows).count() == 4
-    assert hilbert.hilbert_shards(rows).count() == bpe.coded(rows, tokenizer_file()).count() == 4
+    assert hilbert.hilbert_shards(rows, tags=()).count() == bpe.coded(rows, tokenizer_file()).count() == 4
