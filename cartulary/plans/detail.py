@@ -7,9 +7,10 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.idents import parse_name, qualified_id, trim_all
 from ..functions.text import clip, is_cut, pointer, prose, unix_lines
 from ..keys import FIELD_LIMIT, LONG_LIMIT, REQUEST_MAX, SNAPSHOT
-from ..operators import lines
+from ..operators import lines, rules
+from ..operators.diff import page_warnings
 from ..operators.pages import column_notes, overrides
-from ..operators.references import external_targets, neighbors
+from ..operators.references import edges, external_targets, neighbors
 from ..session import cut
 
 Tables = dict[str, DataFrame]
@@ -46,10 +47,18 @@ def resolve_names(requests: DataFrame, known: DataFrame, scopes: DataFrame) -> t
     return resolved.drop("low_name"), ambiguous.unionByName(similar)
 
 
-def first_problems(resolved: DataFrame) -> DataFrame:
-    """The problem that decides a request: the first by position."""
-    return resolved.filter(F.col("code") != "ok").groupBy(*REQUEST).agg(
+def first_problems(resolved: DataFrame, limit: int = REQUEST_MAX) -> DataFrame:
+    """Why a request is refused: its first bad name by position, or ``too_many_relations`` (without position and input).
+
+    Every request is either here or in :func:`accepted`.
+    """
+    bad = resolved.filter(F.col("code") != "ok").groupBy(*REQUEST).agg(
         F.min_by(F.struct("pos", "input", "code"), "pos").alias("p")).select(*REQUEST, "p.pos", "p.input", "p.code")
+    large = requested(resolved).groupBy(*REQUEST).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit)
+    refused = large.join(bad.select(*REQUEST), REQUEST, "left_anti").select(
+        *REQUEST, F.lit(None).cast(resolved.schema["pos"].dataType).alias("pos"), F.lit(None).cast("string").alias("input"),
+        F.lit("too_many_relations").alias("code"))
+    return bad.unionByName(refused)
 
 
 def requested(resolved: DataFrame) -> DataFrame:
@@ -58,22 +67,26 @@ def requested(resolved: DataFrame) -> DataFrame:
 
 
 def accepted(resolved: DataFrame, limit: int = REQUEST_MAX) -> DataFrame:
-    """Requests without a problem and with at most ``limit`` relations, as rows."""
-    ids = requested(resolved)
-    small = ids.groupBy(*REQUEST).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= limit).select(*REQUEST)
-    return ids.join(small, REQUEST, "left_semi").join(first_problems(resolved).select(*REQUEST), REQUEST, "left_anti")
+    """Requests without a problem, as rows of their relations."""
+    return requested(resolved).join(first_problems(resolved, limit).select(*REQUEST), REQUEST, "left_anti")
+
 
+def selection(tables: Tables, seeds: DataFrame, related: bool, graph: DataFrame | None = None, cap: int | None = None) -> DataFrame:
+    """Requested relations in request order, then their neighbours by id.
 
-def selection(tables: Tables, seeds: DataFrame, related: bool) -> DataFrame:
-    """Requested relations in request order, then their neighbours by id."""
+    ``graph`` holds the edges of the relations, where a caller has them stored.
+    ``omitted`` counts the neighbours that a ``cap`` left out; it stands on the
+    neighbours' rows.
+    """
     snapshot_ids = tables["snapshots"].select(*SNAPSHOT)
     keyed = seeds.join(snapshot_ids, "catalog_id")
-    own = keyed.select(*SNAPSHOT, "request_id", "relation_id", F.lit(False).alias("is_neighbor"), F.col("pos").cast("bigint").alias("pos"))
+    own = keyed.select(
+        *SNAPSHOT, "request_id", "relation_id", F.lit(False).alias("is_neighbor"), F.col("pos").cast("bigint").alias("pos"), F.lit(0).cast("bigint").alias("omitted"))
     if not related:
         return own
-    found = neighbors(tables["foreign_keys"], tables["relations"], keyed)
+    found = neighbors(edges(tables["foreign_keys"], tables["relations"]) if graph is None else graph, keyed, cap)
     return own.unionByName(found.select(
-        *SNAPSHOT, "request_id", F.col("neighbor").alias("relation_id"), F.lit(True).alias("is_neighbor"), F.col("position").cast("bigint").alias("pos")))
+        *SNAPSHOT, "request_id", F.col("neighbor").alias("relation_id"), F.lit(True).alias("is_neighbor"), F.col("position").alias("pos"), "omitted"))
 
 
 def restrict(tables: Tables, chosen: DataFrame) -> Tables:
@@ -86,15 +99,26 @@ def restrict(tables: Tables, chosen: DataFrame) -> Tables:
 
 
 def detail(tables: Tables, parsed_pages: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Structure lines of every chosen relation, one row per line and request.
+    """Structure lines of every chosen relation, once however many requests chose it.
 
-    The selection restricts every table, so it is materialised once.
+    A hub near many requests has its lines here one time; ``chosen`` says who
+    asked, and joining the two for one request shows that request's answer.
     """
-    chosen = cut(chosen)
-    limited = restrict(tables, chosen)
-    body = lines.all_lines(limited, overrides(column_notes(parsed_pages)))
-    return chosen.join(body, SNAPSHOT + ["relation_id"]).select(
-        *SNAPSHOT, "request_id", "is_neighbor", "pos", "relation_id", "section", "order_key", "line")
+    return lines.all_lines(restrict(tables, chosen), overrides(column_notes(parsed_pages)))
+
+
+def detail_warnings(tables: Tables, parsed_pages: DataFrame, subject: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Warnings ``(source, check_no, code)`` of every chosen relation, once however many requests chose it.
+
+    A relation is not called undocumented while its page cannot be read.
+    """
+    key = ["catalog_id", "relation_id"]
+    wanted = chosen.select(*key).distinct()
+    broken = parsed_pages.filter(~F.col("ok")).select(*key, F.lit("undocumented").alias("code"))
+    rule = rules.warnings(tables, parsed_pages.filter("ok"), column_notes(parsed_pages)).join(broken, key + ["code"], "left_anti")
+    page = page_warnings(subject)
+    either = rule.select(*key, F.lit("rule").alias("source"), "check_no", "code").unionByName(page.select(*key, F.lit("page").alias("source"), "check_no", "code"))
+    return either.join(wanted, key, "left_semi")
 
 
 def detail_external(tables: Tables, chosen: DataFrame) -> DataFrame:
@@ -149,14 +173,12 @@ def human_context(tables: Tables, parsed_pages: DataFrame) -> DataFrame:
 
 
 def detail_context(tables: Tables, parsed_pages: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Human context of the chosen relations; neighbours come without note bodies."""
+    """Human context of every chosen relation, once; only relations that a request names have note bodies."""
     key = ["catalog_id", "relation_id"]
-    chosen = cut(chosen)
-    wanted = chosen.select(*key).distinct()
+    wanted = chosen.groupBy(*key).agg(F.bool_and("is_neighbor").alias("__near"))
     limited = {name: tables[name].join(wanted, key, "left_semi") for name in ("relations", "columns")}
     found = human_context(limited, parsed_pages.join(wanted, key, "left_semi"))
-    return chosen.select("catalog_id", "request_id", "relation_id", "is_neighbor").join(found, key).filter(
-        ~(F.col("is_neighbor") & (F.col("field") == "notes")))
+    return found.join(wanted, key).filter(~(F.col("__near") & (F.col("field") == "notes"))).drop("__near")
 
 
 def detail_entries(chosen: DataFrame, subject: DataFrame) -> DataFrame:

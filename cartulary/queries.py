@@ -317,8 +317,13 @@ def known(spark, folder) -> DataFrame:
 
 
 def resolution(spark, folder) -> tuple[DataFrame, DataFrame]:
-    scopes = snapshot(spark, folder, LIVE)["scopes"]
-    return details.resolve_names(notes(spark, folder)["requests"], known(spark, folder), scopes)
+    def make(target):
+        scopes = snapshot(spark, folder, LIVE)["scopes"]
+        resolved, candidates = details.resolve_names(notes(spark, folder)["requests"], known(spark, folder), scopes)
+        return {"resolved": land(resolved, f"{target}/resolved"), "candidates": candidates}
+
+    made = _landed(spark, folder, "resolution", make)
+    return made["resolved"], made["candidates"]
 
 
 @query
@@ -343,17 +348,31 @@ def accepted_requests(spark, folder):
 
 @query
 def neighbors(spark, folder):
-    live = snapshot(spark, folder, LIVE)
-    seeds = live["relations"].filter(F.col("schema").isin("sales", "parts")).select(
-        *SNAPSHOT, F.col("relation_id").alias("request_id"), "relation_id")
-    return references.neighbors(live["foreign_keys"], live["relations"], seeds)
+    """Every relation asks for its neighbours."""
+    seeds = snapshot(spark, folder, LIVE)["relations"].select(*SNAPSHOT, F.col("relation_id").alias("request_id"), "relation_id")
+    return references.neighbors(graph(spark, folder), seeds)
 
 
-def chosen(spark, folder, related: bool = True) -> DataFrame:
+@query
+def capped_neighbors(spark, folder):
+    seeds = snapshot(spark, folder, LIVE)["relations"].select(*SNAPSHOT, F.col("relation_id").alias("request_id"), "relation_id")
+    return references.neighbors(graph(spark, folder), seeds, keys.NEIGHBOR_MAX)
+
+
+def graph(spark, folder) -> DataFrame:
+    """Edges of the live relations, stored once."""
     live = snapshot(spark, folder, LIVE)
-    captured = live["relations"].select("catalog_id", "relation_id")
-    seeds = details.requested(resolution(spark, folder)[0]).join(captured, ["catalog_id", "relation_id"], "left_semi")
-    return details.selection(live, seeds, related)
+    return _landed(spark, folder, "graph", lambda target: {"edges": land(references.edges(live["foreign_keys"], live["relations"]), target)})["edges"]
+
+
+def chosen(spark, folder) -> DataFrame:
+    """What the accepted requests select, neighbours included; stored once."""
+    def make(target):
+        live = snapshot(spark, folder, LIVE)
+        seeds = details.accepted(resolution(spark, folder)[0])
+        return {"chosen": land(details.selection(live, seeds, True, graph(spark, folder)), target)}
+
+    return _landed(spark, folder, "chosen", make)["chosen"]
 
 
 @query
@@ -374,18 +393,22 @@ def detail_context(spark, folder):
 
 @query
 def detail_entries(spark, folder):
-    seeds = details.requested(resolution(spark, folder)[0])
-    return details.detail_entries(details.selection(snapshot(spark, folder, LIVE), seeds, related=True), subjects(spark, folder))
+    return details.detail_entries(chosen(spark, folder), subjects(spark, folder))
+
+
+@query
+def detail_warnings(spark, folder):
+    return details.detail_warnings(snapshot(spark, folder, LIVE), parsed(spark, folder), subjects(spark, folder), chosen(spark, folder))
 
 
 @query
 def detail_external(spark, folder):
-    return details.detail_external(snapshot(spark, folder, LIVE), chosen(spark, folder, related=False))
+    return details.detail_external(snapshot(spark, folder, LIVE), chosen(spark, folder))
 
 
 @query
 def detail_enums(spark, folder):
-    found = details.detail_enums(snapshot(spark, folder, LIVE), chosen(spark, folder, related=False))
+    found = details.detail_enums(snapshot(spark, folder, LIVE), chosen(spark, folder))
     return found.withColumn("values", F.array_join("values", "|"))
 
 
@@ -504,7 +527,7 @@ def clean_documents(spark, folder):
     return full.select(
         "doc_id", text.clip(F.col("full"), FIELD_LIMIT).alias("field"), text.is_cut(F.col("full"), FIELD_LIMIT).alias("field_cut"),
         text.clip(F.col("plain"), OVERVIEW_LIMIT).alias("brief"), text.is_cut(F.col("plain"), OVERVIEW_LIMIT).alias("brief_cut"),
-        "code_chars", text.size_estimate(F.col("text")).alias("tokens"))
+        F.sha2("full", 256).alias("full_hash"), F.length("full").alias("full_chars"), "code_chars", text.size_estimate(F.col("text")).alias("tokens"))
 
 
 @query
@@ -573,7 +596,7 @@ def scrub_messages(spark, folder):
         F.lit("failed for "), F.col("secret_url"), F.lit("; p%40ss-w0rd!"), number, F.lit(" / p@ss-w0rd!"), number, F.lit(" / hunter"), number,
         F.lit(" / a/b / a%2Fb "), F.col("html"))
     scrubbed = secrets.scrub_secrets(message, F.col("secret_url"))
-    return rows.select("page_id", F.substring_index(scrubbed, "<!DOCTYPE", 1).alias("start"), F.length(scrubbed).alias("n_chars"))
+    return rows.select("page_id", F.sha2(scrubbed, 256).alias("scrubbed_hash"), F.length(scrubbed).alias("n_chars"))
 
 
 @query

@@ -283,11 +283,11 @@ FROM (SELECT n_nationkey, i, CASE i WHEN 1 THEN 'index.md' WHEN 2 THEN 'rules.md
       FROM (SELECT n_nationkey, EXPLODE(ARR(1, 2, 3)) AS i FROM {nation}) y) x
 WHERE (n_nationkey + i) % 4 <> 0"""
 
-# Relation names as people type them, one request per customer.
+# Relation names as people type them, one request per customer; some customers name relations as they are, and some share one large request.
 REQUESTS = f"""
-SELECT catalog_id, CAST(c AS bigint) AS request_id, k AS pos,
-       CASE k % 6 WHEN 0 THEN concat('ORDER_', k) WHEN 1 THEN concat('  ', {_ID}, ' ') WHEN 2 THEN {_quoted()}
-                  WHEN 3 THEN concat('"ORDER_', k, '"') WHEN 4 THEN concat('a.b.', k) ELSE concat('Sales.Customer_', c) END AS input
+SELECT catalog_id, CAST(CASE WHEN c % 7 = 3 THEN -1 - floor(c / 1000) ELSE c END AS bigint) AS request_id, k AS pos,
+       CASE WHEN c % 7 = 3 OR c % 3 = 1 THEN {_ID} ELSE CASE k % 6 WHEN 0 THEN concat('ORDER_', k) WHEN 1 THEN concat('  ', {_ID}, ' ') WHEN 2 THEN {_quoted()}
+                  WHEN 3 THEN concat('"ORDER_', k, '"') WHEN 4 THEN concat('a.b.', k) ELSE concat('Sales.Customer_', c) END END AS input
 FROM {{order_base}} WHERE ver = 2"""
 
 TABLES = ["orders", "customer", "lineitem", "supplier", "part", "nation"]

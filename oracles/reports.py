@@ -44,7 +44,7 @@ SELECT o_orderkey, o_custkey, position, item FROM orders LEFT JOIN (SELECT l_ord
   row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus, l_extendedprice) AS position FROM lineitem) l ON l_orderkey = o_orderkey""",
     "scoped_orders": "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY'))",
     "clean_documents": f"""
-SELECT doc_id, {clip('f', 500)} AS field, coalesce(length(f) > 500, false) AS field_cut, {clip('b', 120)} AS brief, coalesce(length(b) > 120, false) AS brief_cut, CAST(code_chars AS INTEGER) AS code_chars,
+SELECT doc_id, {clip('f', 500)} AS field, coalesce(length(f) > 500, false) AS field_cut, {clip('b', 120)} AS brief, coalesce(length(b) > 120, false) AS brief_cut, sha256(f) AS full_hash, CAST(length(f) AS INTEGER) AS full_chars, CAST(code_chars AS INTEGER) AS code_chars,
   CAST(floor(length(text) / 4 + 0.5) AS BIGINT) AS tokens FROM dirty""",
     "truncated_documents": f"""
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS position, pointer FROM (
@@ -58,7 +58,7 @@ WHERE contains(lower(text), 'the and') OR contains(text, '%') OR contains(text,
     "label_overrides": """
 SELECT d.doc_id, d.n_chars > 2000 AS automatic, l.quality = 1 AS "override", coalesce(l.quality = 1, d.n_chars > 2000) AS effective FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""",
     "redact_urls": "SELECT page_id, redacted FROM redacted",
-    "scrub_messages": "SELECT page_id, start, CAST(length(start) + length(rest) AS INTEGER) AS n_chars FROM scrubbed",
+    "scrub_messages": "SELECT page_id, sha256(start || rest) AS scrubbed_hash, CAST(length(start) + length(rest) AS INTEGER) AS n_chars FROM scrubbed",
     "latency_summary": """
 SELECT event_type, count(*) AS n, min(value) AS minimum, list_sort(list(value))[CAST(least(count(*) - 1, floor(0.5 * count(*))) AS BIGINT) + 1] AS median,
   list_sort(list(value))[CAST(least(count(*) - 1, floor(0.95 * count(*))) AS BIGINT) + 1] AS p95 FROM events GROUP BY event_type""",

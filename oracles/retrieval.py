@@ -52,14 +52,20 @@ FROM req r LEFT JOIN (SELECT catalog_id, request_id, pos, count(*) AS n, min(rel
     "edge": """
 SELECT f.catalog_id, f.relation_id AS a, f.ref AS b FROM live_fk f JOIN live_rel r ON r.catalog_id = f.catalog_id AND r.relation_id = f.ref
 UNION SELECT f.catalog_id, f.ref, f.relation_id FROM live_fk f JOIN live_rel r ON r.catalog_id = f.catalog_id AND r.relation_id = f.ref""",
-    "own": "SELECT a.catalog_id, a.request_id, a.relation_id, a.pos FROM asked a JOIN live_rel r ON r.catalog_id = a.catalog_id AND r.relation_id = a.relation_id",
+    "problem": """
+SELECT catalog_id, request_id, pos, input, code FROM resolved WHERE code <> 'ok' QUALIFY row_number() OVER (PARTITION BY catalog_id, request_id ORDER BY pos) = 1
+UNION ALL SELECT catalog_id, request_id, NULL, NULL, 'too_many_relations' FROM resolved GROUP BY catalog_id, request_id
+HAVING count(DISTINCT relation_id) > 20 AND count(*) FILTER (code <> 'ok') = 0""",
+    "own": "SELECT a.* FROM asked a WHERE NOT EXISTS (SELECT 1 FROM problem p WHERE p.catalog_id = a.catalog_id AND p.request_id = a.request_id)",
     "near": """
 SELECT catalog_id, request_id, b, row_number() OVER (PARTITION BY catalog_id, request_id ORDER BY b) AS position FROM (
   SELECT DISTINCT o.catalog_id, o.request_id, e.b FROM own o JOIN edge e ON e.catalog_id = o.catalog_id AND e.a = o.relation_id
   WHERE NOT EXISTS (SELECT 1 FROM own x WHERE x.catalog_id = o.catalog_id AND x.request_id = o.request_id AND x.relation_id = e.b)) d""",
     "chosen": """
-SELECT catalog_id, 's2' AS snapshot_id, request_id, relation_id, false AS is_neighbor, pos FROM own
-UNION ALL SELECT catalog_id, 's2', request_id, b, true, position FROM near WHERE position <= 20""",
+SELECT catalog_id, 's2' AS snapshot_id, request_id, relation_id, false AS is_neighbor, CAST(pos AS BIGINT) AS pos, CAST(0 AS BIGINT) AS omitted FROM own
+UNION ALL SELECT catalog_id, 's2', request_id, b, true, position, 0 FROM near""",
+    "picked": "SELECT catalog_id, relation_id, bool_and(is_neighbor) AS near FROM chosen GROUP BY catalog_id, relation_id",
+    "degree": "SELECT catalog_id, a, b, row_number() OVER (PARTITION BY catalog_id, a ORDER BY b) AS position, count(*) OVER (PARTITION BY catalog_id, a) AS total FROM edge WHERE a <> b",
     "overview_rows": f"""
 SELECT r.catalog_id, r.snapshot_id, r.relation_id, r.kind, coalesce(c.n, 0) AS columns, w.n AS warnings, {full('p.purpose')} AS full_purpose
 FROM live_rel r LEFT JOIN (SELECT catalog_id, relation_id, count(*) AS n FROM live_col GROUP BY catalog_id, relation_id) c ON c.catalog_id = r.catalog_id AND c.relation_id = r.relation_id
@@ -84,30 +90,28 @@ ORDER BY rank, relation_id, catalog_id LIMIT 50""",
     "name_candidates": """
 SELECT r.catalog_id, r.request_id, r.pos, h.relation_id AS candidate FROM resolved r JOIN hit h ON h.catalog_id = r.catalog_id AND h.request_id = r.request_id AND h.pos = r.pos WHERE r.code = 'ambiguous_name'
 UNION ALL SELECT r.catalog_id, r.request_id, r.pos, k.relation_id FROM resolved r JOIN known k ON k.catalog_id = r.catalog_id AND lower(k.name) = lower(r.parts[-1]) WHERE r.code = 'unknown_relation'""",
-    "request_problems": "SELECT catalog_id, request_id, pos, input, code FROM resolved WHERE code <> 'ok' QUALIFY row_number() OVER (PARTITION BY catalog_id, request_id ORDER BY pos) = 1",
-    "accepted_requests": """
-SELECT a.catalog_id, a.request_id, a.relation_id, a.pos FROM asked a
-WHERE NOT EXISTS (SELECT 1 FROM resolved r WHERE r.catalog_id = a.catalog_id AND r.request_id = a.request_id AND r.code <> 'ok')
-  AND (SELECT count(*) FROM asked b WHERE b.catalog_id = a.catalog_id AND b.request_id = a.request_id) <= 20""",
-    "neighbors": """
-SELECT catalog_id, 's2' AS snapshot_id, request_id, CAST(position AS INTEGER) AS position, neighbor, greatest(total - 20, 0) AS omitted FROM (
-  SELECT e.catalog_id, e.a AS request_id, e.b AS neighbor, row_number() OVER (PARTITION BY e.catalog_id, e.a ORDER BY e.b) AS position, count(*) OVER (PARTITION BY e.catalog_id, e.a) AS total
-  FROM edge e JOIN live_rel r ON r.catalog_id = e.catalog_id AND r.relation_id = e.a WHERE r.schema IN ('sales', 'parts') AND e.a <> e.b) x WHERE position <= 20""",
+    "request_problems": "SELECT * FROM problem",
+    "accepted_requests": "SELECT * FROM own",
+    "neighbors": "SELECT catalog_id, 's2' AS snapshot_id, a AS request_id, position, b AS neighbor, CAST(0 AS BIGINT) AS omitted FROM degree",
+    "capped_neighbors": "SELECT catalog_id, 's2' AS snapshot_id, a AS request_id, position, b AS neighbor, greatest(total - 20, 0) AS omitted FROM degree WHERE position <= 20",
     "detail_selection": "SELECT * FROM chosen",
-    "detail": """
-SELECT c.catalog_id, c.snapshot_id, c.request_id, c.is_neighbor, c.pos, c.relation_id, l.section, l.order_key, l.line FROM chosen c JOIN all_lines l ON l.catalog_id = c.catalog_id AND l.relation_id = c.relation_id""",
+    "detail": "SELECT l.* FROM all_lines l JOIN picked c ON c.catalog_id = l.catalog_id AND c.relation_id = l.relation_id",
     "detail_context": """
-SELECT c.catalog_id, c.request_id, c.relation_id, c.is_neighbor, x.field, x.item, sha256(x.value) AS value, x.truncated, x.pointer
-FROM chosen c JOIN context x ON x.catalog_id = c.catalog_id AND x.relation_id = c.relation_id WHERE NOT (c.is_neighbor AND x.field = 'notes')""",
+SELECT x.catalog_id, x.relation_id, x.field, x.item, sha256(x.value) AS value, x.truncated, x.pointer
+FROM picked c JOIN context x ON x.catalog_id = c.catalog_id AND x.relation_id = c.relation_id WHERE NOT (c.near AND x.field = 'notes')""",
     "detail_entries": """
 SELECT c.*, s.due_state AS state, s.path AS context_file, s.has_page AND NOT coalesce(s.ok, false) AND NOT c.is_neighbor AS partial
-FROM (SELECT catalog_id, 's2' AS snapshot_id, request_id, relation_id, false AS is_neighbor, pos FROM asked
-  UNION ALL SELECT catalog_id, snapshot_id, request_id, relation_id, is_neighbor, pos FROM chosen WHERE is_neighbor) c
-LEFT JOIN subject s ON s.catalog_id = c.catalog_id AND s.relation_id = c.relation_id""",
+FROM chosen c LEFT JOIN subject s ON s.catalog_id = c.catalog_id AND s.relation_id = c.relation_id""",
+    "detail_warnings": """
+SELECT w.catalog_id, w.relation_id, w.source, w.check_no, w.code FROM (
+  SELECT catalog_id, relation_id, 'rule' AS source, check_no, code FROM warning v
+  WHERE NOT (code = 'undocumented' AND EXISTS (SELECT 1 FROM page p WHERE p.catalog_id = v.catalog_id AND p.relation_id = v.relation_id AND NOT p.ok))
+  UNION ALL SELECT catalog_id, relation_id, 'page', check_no, code FROM page_warning WHERE code IS NOT NULL) w
+JOIN picked c ON c.catalog_id = w.catalog_id AND c.relation_id = w.relation_id""",
     "detail_external": """
-SELECT DISTINCT o.catalog_id, 's2' AS snapshot_id, o.request_id, f.ref FROM own o JOIN live_fk f ON f.catalog_id = o.catalog_id AND f.relation_id = o.relation_id
+SELECT DISTINCT o.catalog_id, 's2' AS snapshot_id, o.request_id, f.ref FROM chosen o JOIN live_fk f ON f.catalog_id = o.catalog_id AND f.relation_id = o.relation_id
 WHERE NOT EXISTS (SELECT 1 FROM live_rel r WHERE r.catalog_id = f.catalog_id AND r.relation_id = f.ref)""",
     "detail_enums": """
-SELECT DISTINCT o.catalog_id, 's2' AS snapshot_id, o.request_id, e.enum_id, coalesce(array_to_string(e."values", '|'), '') AS "values", e.external FROM own o
+SELECT DISTINCT o.catalog_id, 's2' AS snapshot_id, o.request_id, e.enum_id, coalesce(array_to_string(e."values", '|'), '') AS "values", e.external FROM chosen o
 JOIN live_col c ON c.catalog_id = o.catalog_id AND c.relation_id = o.relation_id JOIN enums e ON e.snapshot_id = 's2' AND e.catalog_id = c.catalog_id AND e.enum_id = c.enum_id""",
 }

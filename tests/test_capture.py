@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from model import column, relation, snapshot
 from pyspark.sql import functions as F
 
 from cartulary.operators import hashes as hashing
@@ -85,7 +86,7 @@ def shop(spark, tmp_path_factory):
 def lines_of(shop, spark):
     none = spark.createDataFrame([], "catalog_id string, relation_id string, name string, sensitive boolean")
     found = {}
-    for r in lines.all_lines(shop, none).orderBy("relation_id", "section", "order_key").collect():
+    for r in lines.all_lines(shop, none).orderBy("relation_id", "section", "ordinal", "order_key").collect():
         found.setdefault((r.relation_id, r.section), []).append(r.line)
     return found
 
@@ -132,6 +133,8 @@ def test_neighbours_external_and_names(shop, spark):
     assert [r.code for r in resolved.orderBy("request_id", "pos").collect()] == ["ok", "ok", "ok", "ok", "unknown_relation", "invalid_name"]
     assert {r.candidate for r in candidates.collect()} == {'public."Orders"', "public.orders"}
     assert [(r.request_id, r.code) for r in detail.first_problems(resolved).collect()] == [(2, "unknown_relation")]
+    assert [(r.request_id, r.code) for r in detail.first_problems(resolved, 1).orderBy("request_id").collect()] == [(1, "too_many_relations"), (2, "unknown_relation")]
+    assert detail.accepted(resolved, 1).count() == 0
     accepted = detail.accepted(resolved)
     assert [r.relation_id for r in accepted.orderBy("pos").collect()] == ["public.orders", "public.customers"]
     chosen = detail.selection(shop, accepted, related=True)
@@ -176,3 +179,12 @@ def test_element_quantiles_do_not_interpolate(spark):
     rows = spark.range(30).select(F.lit("g").alias("g"), F.col("id").cast("double").alias("v"))
     row = reports.latency_summary(rows, ["g"], "v", {"median": 0.5, "p95": 0.95}).first()
     assert (row.n, row.minimum, row.median, row.p95) == (30, 0.0, 15.0, 28.0)
+
+
+def test_wide_relations_keep_their_order(spark):
+    """Columns beyond 99,999 keep distinct places in order."""
+    numbers = (9, 99_999, 100_000, 123_451, 123_456)
+    wide = snapshot(spark, relations=[relation("wide")], columns=[column("wide", n, f"c_{n}") for n in numbers])
+    none = spark.createDataFrame([], "catalog_id string, relation_id string, name string, sensitive boolean")
+    found = lines.column_lines(wide, none).orderBy("ordinal").collect()
+    assert [r.line for r in found] == [f"c_{n} text" for n in numbers]
