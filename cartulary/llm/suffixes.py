@@ -285,8 +285,11 @@ def repeats(rows: DataFrame, width: int = WIDTH, many: int = MANY) -> DataFrame:
     several = met.filter("__c0 != __c1").select("a", "c", "__id", "at", "lo", "hi")
     firsts = several.groupBy("a", "c").agg(F.min(F.struct("__id", "at", "lo", "hi")).alias("f"))
     firsts = land(firsts.select("a", "c", F.col("f.__id").alias("__fid"), F.col("f.at").alias("__fat"), F.col("f.lo").alias("lo"), F.col("f.hi").alias("hi")), "contexts")
-    copies = several.join(firsts.select("a", "c", "__fid", "__fat"), ["a", "c"]).filter(
-        (F.col("__id") != F.col("__fid")) | (F.col("at") != F.col("__fat"))).select("__id", "lo", "hi")
+    # All but the first of equal contexts: told apart by their place, so that a passage in many texts is no hot key.
+    spot = ["a", "c", "__id", "at", "lo", "hi"]
+    marks = firsts.select("a", "c", F.col("__fid").alias("__id"), F.col("__fat").alias("at"), "lo", "hi", F.lit(True).alias("__is_first"))
+    copies = several.select(*spot, F.lit(False).alias("__is_first")).unionByName(marks).groupBy(*spot).agg(
+        F.max("__is_first").alias("__is_first")).filter("not __is_first").select("__id", "lo", "hi")
     counts = firsts.groupBy("a").agg(F.count(F.lit(1)).alias("__contexts"))
     wanted = firsts.join(counts, "a").select("a", F.col("__fid").alias("__id"), "lo", "hi", "__contexts")
     few = _sorted_shards(_contexts(rows, wanted.filter(F.col("__contexts") <= many)), width)
