@@ -34,8 +34,10 @@ WIDTH = 100
 ANCHOR = 24
 #: Contexts of an anchor that go to one shard at most.
 MANY = 1000
-#: Bytes of contexts that are sorted together.
-SHARD = 2 << 20
+#: Bytes of text whose anchors are sought together; each byte takes some hundred bytes of arrays meanwhile.
+TOGETHER = 1 << 20
+#: Bytes of contexts that are sorted together, likewise.
+SHARD = 1 << 19
 
 
 # --- numpy -------------------------------------------------------------------
@@ -197,7 +199,7 @@ def _anchor_rows(rows: DataFrame, width: int) -> DataFrame:
     """``__id, at, lo, hi, a, c`` of all anchors of ``__id, __text``; places count in the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches, "__text"):
+        for piece in pieces(batches, "__text", TOGETHER):
             data, offsets = flat.joined(texts(piece, "__text"))
             at, a, lo, hi, c = anchors(data, offsets, width)
             doc = np.searchsorted(offsets, at, "right") - 1
