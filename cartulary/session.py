@@ -14,6 +14,9 @@ SETTINGS = {
     # A hub relation can hold a large share of all foreign keys: split its
     # join partition even when that costs another shuffle afterwards.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Rows may be whole texts: batches for Python are bounded in rows and bytes.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
 }
 
 
