@@ -30,6 +30,8 @@ class Settings:
     size: int = 16
     grams: tuple[int, ...] = (3, 4, 5)
     epochs: int = 4
+    #: Steps of training at least.
+    steps: int = 3000
     rate: float = 0.3
     #: Labelled documents of each class that are learned from at most.
     sample: int = 3000
@@ -101,10 +103,12 @@ def learn(documents: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, se
     table = ((random.random((settings.rows, settings.size), np.float32) - 0.5) / settings.size).astype(np.float32)
     out = np.zeros((settings.size, 2), np.float32)
     bias = np.zeros(2, np.float32)
-    steps, total = 0, max(settings.epochs * len(documents), 1)
+    # Few documents are gone through more often: the weights need some number of steps to leave their start.
+    epochs = max(settings.epochs, -(-settings.steps // max(len(documents), 1)))
+    steps, total = 0, max(epochs * len(documents), 1)
     # Both classes weigh the same, however many of each there are.
     share = np.maximum(np.bincount(labels, minlength=2), 1) / max(len(labels), 1)
-    for _ in range(settings.epochs):
+    for _ in range(epochs):
         for i in random.permutation(len(documents)):
             rate = settings.rate * (1 - steps / total)
             steps += 1
