@@ -55,6 +55,18 @@ def names(candidates: DataFrame, block: int = BLOCK) -> DataFrame:
     return rows.select(*keys, "__name").distinct()
 
 
+def _named(docs: DataFrame, key: str, text: str, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """``__doc, __chars, __len, __sig, __sha, __name`` of the rows with a name, and of those that are equal to none."""
+    rows = docs.select(F.col(key).alias("__doc"), normalised(text).alias("__norm"), F.length(F.coalesce(F.col(text), F.lit(""))).alias("__chars"))
+    rows = rows.withColumns({"__len": F.length("__norm"), "__sig": F.xxhash64("__norm")})
+    small = land(rows.select("__doc", "__chars", "__len", "__sig", F.sha2("__norm", 256).alias("__sha")), "signatures")
+    shared = small.groupBy("__len", "__sig").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").select("__len", "__sig")
+    candidates = rows.join(shared, ["__len", "__sig"], "left_semi").select("__doc", "__len", "__sig", "__norm")
+    named = _same(small, names(candidates, block), ["__doc", "__len", "__sig"], "left")
+    named = land(named, "identities")
+    return named.filter(F.col("__name").isNotNull()), named.filter(F.col("__name").isNull())
+
+
 def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
     """For each row: ``key, keep_id, group_size, kept, text_sha256``.
 
@@ -65,18 +77,11 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", block
     ``group_size``. An empty table gives an empty result; other columns are
     not read.
     """
-    rows = docs.select(F.col(key).alias("__doc"), normalised(text).alias("__norm"), F.length(F.coalesce(F.col(text), F.lit(""))).alias("__chars"))
-    rows = rows.withColumns({"__len": F.length("__norm"), "__sig": F.xxhash64("__norm")})
-    small = land(rows.select("__doc", "__chars", "__len", "__sig", F.sha2("__norm", 256).alias("__sha")), "signatures")
-    shared = small.groupBy("__len", "__sig").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").select("__len", "__sig")
-    candidates = rows.join(shared, ["__len", "__sig"], "left_semi").select("__doc", "__len", "__sig", "__norm")
-    named = _same(small, names(candidates, block), ["__doc", "__len", "__sig"], "left")
-    named = land(named, "identities")
+    several, alone = _named(docs, key, text, block)
     order = F.struct((-F.col("__chars")).alias("c"), F.col("__doc").isNull().alias("n"), F.col("__doc").alias("d"))
-    several = named.filter(F.col("__name").isNotNull())
     groups = several.groupBy("__name").agg(F.count(F.lit(1)).alias("__size"), F.min(order)["d"].alias("__keep"))
     # Documents without a name have no part in the join: their null keys would meet in one task.
-    alone = named.filter(F.col("__name").isNull()).withColumns({"__size": F.lit(1).cast("long"), "__keep": F.col("__doc")})
+    alone = alone.withColumns({"__size": F.lit(1).cast("long"), "__keep": F.col("__doc")})
     out = several.join(groups, "__name").unionByName(alone)
     return out.select(
         F.col("__doc").alias(key), F.col("__keep").alias("keep_id"), F.col("__size").alias("group_size"),
@@ -84,7 +89,20 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", block
 
 
 def drop_exact(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows that stay, one for each key, with the columns of ``docs``."""
-    kept = exact_groups(docs, key, text).filter("kept").select(F.col(key).alias("__keep")).distinct()
-    stay = docs.join(kept, F.col(key).eqNullSafe(F.col("__keep")), "left_semi")
-    return stay.dropDuplicates([key])
+    """One row of equal texts stays, with the columns of ``docs``.
+
+    A row is known by its key and its text, so rows that share a key, or have
+    none, are judged one by one and only go if their own text is told again.
+    """
+    order = F.struct((-F.col("__chars")).alias("c"), F.col("__doc").isNull().alias("n"), F.col("__doc").alias("d"))
+    several, alone = _named(docs, key, text)
+    best = several.groupBy("__name").agg(F.min(F.struct(order.alias("o"), F.col("__sha").alias("s"))).alias("b"))
+    first = best.select(F.col("b.o.d").alias("__doc"), (-F.col("b.o.c")).alias("__chars"), F.col("b.s").alias("__sha"))
+    kept = first.unionByName(alone.select("__doc", "__chars", "__sha")).select(_self("__doc", "__chars", "__sha").alias("__self")).distinct()
+    told = docs.withColumn("__self", _self(key, F.length(F.coalesce(F.col(text), F.lit(""))), F.sha2(normalised(text), 256)))
+    return told.join(kept, "__self", "left_semi").dropDuplicates(["__self"]).select(*docs.columns)
+
+
+def _self(key: str, chars: str | F.Column, sha: str | F.Column) -> F.Column:
+    """What tells a row from others: length, hash and key; a null key is no text."""
+    return F.concat_ws(":", chars, sha, F.col(key).cast("string"))

@@ -290,6 +290,13 @@ def _longs(data: F.Column) -> F.Column:
 
 
 def drop_near(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each group, with the columns of ``docs``."""
-    kept = near_groups(docs, key, text, n, percent).filter("kept").select(F.col(key).alias("__keep")).distinct()
-    return docs.join(kept, F.col(key).eqNullSafe(F.col("__keep")), "left_semi").dropDuplicates([key])
+    """One document of each group, the one with the smallest key (null last), with the columns of ``docs``.
+
+    A node is a key and a text, known by a 64-bit hash of both: rows that share
+    a key, or have none, are judged one by one.
+    """
+    rows = docs.withColumn("__row", F.xxhash64(F.col(key).isNull(), key, text))
+    groups = near_groups(rows, "__row", text, n, percent).select("__row", "component_id").distinct()
+    order = F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("d"), F.col("__row").alias("r"))
+    kept = rows.select("__row", key).join(groups, "__row").groupBy("component_id").agg(F.min(order)["r"].alias("__row")).select("__row")
+    return rows.join(kept, "__row", "left_semi").dropDuplicates(["__row"]).select(*docs.columns)

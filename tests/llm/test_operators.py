@@ -346,3 +346,11 @@ def test_null_and_repeated_keys(spark):
     assert packing.packed(rows, tokenizer_file()).count() >= 4
     assert suffixes.trimmed(rows).count() == repetition.judged(rows).count() == mixing.scored(rows).count() == 4
     assert hilbert.hilbert_shards(rows, tags=()).count() == bpe.coded(rows, tokenizer_file()).count() == 4
+
+
+@pytest.mark.parametrize("drop", [blocks.drop_exact, minhash.drop_near])
+def test_rows_of_one_key_are_dropped_one_by_one(spark, drop):
+    a, b, c, d = (prose(40) for _ in range(4))
+    rows = spark.createDataFrame([(3, a), (5, a), (5, b), (5, b), (None, a), (None, c), (None, d), (None, d), (7, d)], "doc_id long, text string")
+    kept = sorted(((r.doc_id or 0, r.text) for r in drop(rows.repartition(4)).collect()), key=str)
+    assert kept == sorted([(3, a), (5, b), (0, c), (7, d)], key=str)
