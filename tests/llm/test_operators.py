@@ -403,3 +403,23 @@ def test_counts_along_paths_of_all_chunks(spark, docs, monkeypatch):
     for d, t in TEXT.items():
         orders, classes = hashed(t)
         assert told[d] == [[[seen[c, bit, k >> (8 - bit)] for c, k in zip(order, classes)] for order in orders] for bit in range(9)]
+
+
+def test_texts_are_scored_alone_and_to_their_end():
+    """Neighbours change no score, and a text learns beyond its first 64 tokens."""
+    odds = np.zeros(mixing.ORDERS * mixing.SLOTS, np.float32)
+    rng = np.random.default_rng(5)
+    text, other = (rng.integers(1, 1 << 63, n).astype(np.uint64) for n in (600, 37))
+    text = np.where(np.arange(600) % 8 > 0, np.uint64(7 << 56), text)
+    alone = mixing.bit_scores(text, np.zeros(600, np.int64), odds)
+    told = mixing.bit_scores(np.concatenate((other, text, text)), np.repeat([0, 1, 2], (37, 600, 600)), odds)
+    assert told[37:637] == pytest.approx(alone, rel=1e-5) and told[637:] == pytest.approx(alone, rel=1e-5)
+    assert alone[300:].mean() > alone[64:128].mean() + 0.1 and alone[64:128].mean() > alone[:64].mean()
+
+
+def test_start_is_learned_from_training_texts(spark):
+    rows = [(i, "a b c d " * 30) for i in range(20)]
+    found = mixing.scored(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert len({round(r.score, 3) for r in found}) == 1
+    few = mixing.scored(spark.createDataFrame([(i, "a b") for i in range(20)], "doc_id long, text string")).collect()
+    assert len({round(r.score, 4) for r in few}) == 1
