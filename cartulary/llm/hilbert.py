@@ -16,10 +16,11 @@ BITS = 4
 SHARDS = 16
 
 
-def as_number(column: F.Column) -> F.Column:
-    """The first seven bytes of a string as a number in the same order; null and empty come first."""
-    head = F.hex(F.substring(F.coalesce(column, F.lit("")).cast("binary"), 1, 7))
-    return F.coalesce(F.conv(F.rpad(head, 14, "0"), 16, 10).cast("long"), F.lit(0))
+def tag_places(rows: DataFrame, tag: str, name: str) -> DataFrame:
+    """``rows`` with ``name``: the place of the whole string ``tag`` among its distinct values; null and empty come first."""
+    value = F.coalesce(F.col(tag), F.lit(""))
+    places = numbered(rows.select(value.alias("__value")).distinct(), ["__value"], name)
+    return rows.withColumn("__tag", value).join(places, F.col("__tag") == F.col("__value")).drop("__tag", "__value")
 
 
 def borders(rows: DataFrame, dims: list[str], bits: int = BITS) -> dict[str, list[int]]:
@@ -80,7 +81,9 @@ def hilbert_shards(docs: DataFrame, key: str = "doc_id", text: str = "text", tag
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(
         F.col(key).alias("__key"), (F.octet_length(body) + 1).cast("long").alias("__size"), F.crc32(body.cast("binary")).alias("__crc"),
-        F.coalesce(F.col(key).cast("long"), F.lit(0)).alias("__d0"), *(as_number(F.col(t)).alias(f"__d{i + 2}") for i, t in enumerate(tags)))
+        F.coalesce(F.col(key).cast("long"), F.lit(0)).alias("__d0"), *(F.col(t).alias(f"__t{i}") for i, t in enumerate(tags)))
+    for i in range(len(tags)):
+        rows = tag_places(rows, f"__t{i}", f"__d{i + 2}")
     rows = rows.withColumn("__d1", F.col("__size"))
     dims = [f"__d{i}" for i in range(len(tags) + 2)]
     found = borders(rows, dims, bits)

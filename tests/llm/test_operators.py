@@ -423,3 +423,11 @@ def test_start_is_learned_from_training_texts(spark):
     assert len({round(r.score, 3) for r in found}) == 1
     few = mixing.scored(spark.createDataFrame([(i, "a b") for i in range(20)], "doc_id long, text string")).collect()
     assert len({round(r.score, 4) for r in few}) == 1
+
+
+def test_tags_order_by_their_whole_strings(spark):
+    tags = [None, *(f"https://site/{i:04d}" for i in range(63))]
+    rows = spark.createDataFrame([(1, "x", t) for t in tags], "doc_id long, text string, source string")
+    found = hilbert.tag_places(rows, "source", "at").orderBy("at").collect()
+    assert [r.source for r in found] == tags and [r["at"] for r in found] == list(range(64))
+    assert len({r.curve for r in hilbert.hilbert_shards(rows, tags=("source",)).collect()}) == 16
