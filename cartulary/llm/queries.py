@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archives, blocks, bpe, classifier, hilbert, minhash, mixing, packing, pieces, repetition, suffixes
+from . import archives, blocks, bpe, classifier, hilbert, minhash, mixing, packing, pieces, repetition, search, suffixes, variants
 from .base import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,10 +60,18 @@ def op10_block_naming(spark: SparkSession, folder: str) -> DataFrame:
     return blocks.exact_groups(documents(spark, folder))
 
 
+def op11_trie_node_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    return variants.variants(documents(spark, folder))
+
+
+def op12_fp_tree_search(spark: SparkSession, folder: str) -> DataFrame:
+    return search.ranked(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+
+
 def op13_piece_counts(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
     return pieces.token_counts(documents(spark, folder), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-REGISTRY: dict[str, Query] = {f.__name__: f for f in (op1_sum_of_squares_packing, op2_zip_archives, op3_batched_bpe, op4_bottom_k_near_dedup, op5_context_mixing, op6_hilbert_sharding, op7_repetition_rules, op8_suffix_array_dedup, op9_subword_classifier, op10_block_naming, op13_piece_counts)}
+REGISTRY: dict[str, Query] = {f.__name__: f for f in (op1_sum_of_squares_packing, op2_zip_archives, op3_batched_bpe, op4_bottom_k_near_dedup, op5_context_mixing, op6_hilbert_sharding, op7_repetition_rules, op8_suffix_array_dedup, op9_subword_classifier, op10_block_naming, op11_trie_node_pairs, op12_fp_tree_search, op13_piece_counts)}
