@@ -104,6 +104,24 @@ def hash_history(hashes: DataFrame) -> DataFrame:
         F.when(before.isNull(), "first").when(before != F.col("hash"), "changed").otherwise("same").alias("change"))
 
 
+def history_intervals(hashes: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """A history of any number of snapshots as intervals ``RELATION, hash, valid_from, valid_to, snapshots``.
+
+    An interval is a run of snapshots of a catalog in which the relation has
+    one hash; ``valid_to`` is the first snapshot without it, null if it still
+    holds. A relation that is missing for a while has an interval on both
+    sides. Windows go over the snapshots of one catalog or relation only.
+    """
+    order = Window.partitionBy("catalog_id").orderBy("snapshot_id")
+    dated = snapshots.select("catalog_id", "snapshot_id").distinct().select(
+        "catalog_id", "snapshot_id", F.row_number().over(order).alias("at"), F.lead("snapshot_id").over(order).alias("next"))
+    same = Window.partitionBy(*RELATION, "hash").orderBy("at")
+    # Within a run of neighbours, place and rank grow together.
+    runs = hashes.select(*RELATION, "snapshot_id", "hash").join(dated, ["catalog_id", "snapshot_id"]).withColumn("run", F.col("at") - F.row_number().over(same))
+    return runs.groupBy(*RELATION, "hash", "run").agg(
+        F.min("snapshot_id").alias("valid_from"), F.max_by("next", "at").alias("valid_to"), F.count(F.lit(1)).alias("snapshots")).drop("run")
+
+
 def scope_mismatch(stored: DataFrame, configured: DataFrame) -> DataFrame:
     """Catalogs whose configured schema list differs from the stored one, order included."""
     old = stored.select("catalog_id", F.col("schemas").alias("stored"))

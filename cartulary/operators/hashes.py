@@ -27,8 +27,8 @@ def _index_keys() -> Column:
     return F.concat(F.lit("["), F.size("keys").cast("string"), F.lit("]"), F.array_join(parts, ""))
 
 
-def section_rows(snapshot: Snapshot) -> DataFrame:
-    """One row hash per child row, labelled with its section; ``documentation`` is not structural."""
+def child_rows(snapshot: Snapshot) -> DataFrame:
+    """One row hash per column, constraint, foreign key and index, labelled with its section; ``documentation`` is not structural."""
     columns = snapshot["columns"]
     position = encode(F.col("ordinal"))
     structure = columns.select(
@@ -52,19 +52,31 @@ def section_rows(snapshot: Snapshot) -> DataFrame:
         digest(encode(F.col("name")), encode(F.col("method")), _index_keys(), encode_list(F.col("include")),
                *[encode(F.col(c)) for c in ("is_unique", "is_primary", "valid", "predicate", "definition")],
                ).alias("row_hash"))
-    used = columns.filter(F.col("enum_id").isNotNull()).select(*RELATION, "enum_id").distinct()
-    known = snapshot["enums"].select(
-        *SNAPSHOT, "enum_id",
-        F.concat(encode(F.col("schema")), encode(F.col("name")), encode_list(F.col("values"))).alias("content"))
-    enums = used.join(known, SNAPSHOT + ["enum_id"], "left").select(
-        *RELATION, F.lit("enums").alias("section"),
-        F.sha2(F.coalesce("content", F.concat(encode(F.col("enum_id")), F.lit("~"))), 256).alias("row_hash"))
     rows = structure
-    for part in (comments, keys, foreign, indexes, enums):
+    for part in (comments, keys, foreign, indexes):
         rows = rows.unionByName(part)
     return rows
 
 
+def used_enums(snapshot: Snapshot) -> DataFrame:
+    """``RELATION, enum_id, schema, name, values``: the enums of each relation's columns, once each; unknown ones without content."""
+    used = snapshot["columns"].filter(F.col("enum_id").isNotNull()).select(*RELATION, "enum_id").distinct()
+    known = snapshot["enums"].select(*SNAPSHOT, "enum_id", "schema", "name", "values")
+    return used.join(known, SNAPSHOT + ["enum_id"], "left").select(*RELATION, "enum_id", "schema", "name", "values")
+
+
+def enum_rows(used: DataFrame) -> DataFrame:
+    """One row hash per enum that a relation uses."""
+    content = F.concat(encode(F.col("schema")), encode(F.col("name")), encode_list(F.col("values")))
+    unknown = F.concat(encode(F.col("enum_id")), F.lit("~"))
+    return used.select(*RELATION, F.lit("enums").alias("section"), F.sha2(F.when(F.col("name").isNotNull(), content).otherwise(unknown), 256).alias("row_hash"))
+
+
+def section_rows(snapshot: Snapshot) -> DataFrame:
+    """One row hash per child row and used enum, labelled with its section."""
+    return child_rows(snapshot).unionByName(enum_rows(used_enums(snapshot)))
+
+
 def relation_hashes(snapshot: Snapshot) -> DataFrame:
     """Per relation: a hash per section, the structural ``hash`` and ``doc_hash``."""
     sections = section_rows(snapshot).groupBy(*RELATION, "section").agg(*lane_sums(F.col("row_hash")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.idents import parse_name, qualified_id, trim_all
 from ..functions.text import clip, is_cut, pointer, prose, unix_lines
@@ -47,6 +47,18 @@ def resolve_names(requests: DataFrame, known: DataFrame, scopes: DataFrame) -> t
     return resolved.drop("low_name"), ambiguous.unionByName(similar)
 
 
+def bounded_candidates(candidates: DataFrame, limit: int = REQUEST_MAX) -> DataFrame:
+    """The first ``limit`` candidates of each failed input by name, with their ``place`` and the number that was left out.
+
+    A name that thousands of relations share does not make an answer of
+    thousands; the limit is applied before the shuffle.
+    """
+    key = REQUEST + ["pos"]
+    place = F.row_number().over(Window.partitionBy(*key).orderBy("candidate"))
+    counted = candidates.groupBy(*key).agg(F.greatest(F.count(F.lit(1)) - limit, F.lit(0)).alias("omitted"))
+    return candidates.withColumn("place", place).filter(F.col("place") <= limit).join(counted, key)
+
+
 def first_problems(resolved: DataFrame, limit: int = REQUEST_MAX) -> DataFrame:
     """Why a request is refused: its first bad name by position, or ``too_many_relations`` (without position and input).
 

@@ -642,3 +642,7 @@ def size_report(spark, folder):
 def duplicate_keys(spark, folder):
     """Uniqueness check on (order, line number), which the data violates."""
     return reports.duplicates(spark.read.parquet(f"{folder}/lineitem.parquet"), ["l_orderkey", "l_linenumber"])
+
+
+# Further queries register themselves; they build on the ones above.
+from . import stored_queries  # noqa: E402, F401

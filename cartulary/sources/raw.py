@@ -44,3 +44,17 @@ def scope_list(spark: SparkSession, schemas: list[str] | None, catalog_id: str,
         raise ValueError("schemas contains duplicates")
     rows = [(catalog_id, snapshot_id, schema, number) for number, schema in enumerate(listed, 1)]
     return spark.createDataFrame(rows, SCHEMAS["scopes"])
+
+
+def checked_scopes(scopes: DataFrame, catalogs: DataFrame) -> DataFrame:
+    """``catalog_id, snapshot_id, schemas, flaw``: the configured schemas of every catalog in order, ``public`` where none are given.
+
+    ``flaw`` tells lists that cannot be used: an empty name, or one that is there twice.
+    """
+    key = ["catalog_id", "snapshot_id"]
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("position", F.coalesce("schema", F.lit("")).alias("schema")))), lambda s: s["schema"])
+    lists = scopes.groupBy(*key).agg(ordered.alias("listed"))
+    listed = F.coalesce("listed", F.array(F.lit("public")))
+    empty = F.exists("schemas", lambda s: (s == "") | F.contains(s, F.lit("\0")))
+    return catalogs.select(*key).distinct().join(lists, key, "left").select(*key, listed.alias("schemas")).withColumn(
+        "flaw", F.when(empty, "empty_name").when(F.size(F.array_distinct("schemas")) < F.size("schemas"), "repeated_name"))

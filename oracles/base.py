@@ -105,19 +105,23 @@ LEFT JOIN raw_relations t ON t.catalog_id = c.catalog_id AND t.snapshot_id = c.s
 LEFT JOIN raw_namespaces tn ON tn.catalog_id = t.catalog_id AND tn.snapshot_id = t.snapshot_id AND tn.oid = t.relnamespace
 WHERE c.contype = 'f'""",
     "idx_pos": """
-SELECT x.*, a.attname FROM (SELECT catalog_id, snapshot_id, indrelid, indexrelid, indnkeyatts, key_defs, unnest(indkey) AS attnum, unnest(range(1, len(indkey) + 1)) AS pos FROM raw_indexes) x
+SELECT x.*, a.attname FROM (SELECT *, unnest(indkey) AS attnum, unnest(range(1, len(indkey) + 1)) AS pos FROM raw_indexes) x
 LEFT JOIN raw_attributes a ON a.catalog_id = x.catalog_id AND a.snapshot_id = x.snapshot_id AND a.attrelid = x.indrelid AND a.attnum = x.attnum""",
+    # All fields of an index are carried along: one join less, whose order the planner got wrong.
     "idx_keys": """
-SELECT catalog_id, snapshot_id, indexrelid,
+SELECT catalog_id, snapshot_id, indexrelid, any_value(indrelid) AS indrelid, any_value(relname) AS relname, any_value(amname) AS amname, any_value(indisunique) AS indisunique,
+  any_value(indisprimary) AS indisprimary, any_value(indisvalid) AS indisvalid, any_value(predicate) AS predicate, any_value(definition) AS definition,
   list(struct_pack("column" := attname, expression := CASE WHEN attname IS NULL THEN key_defs[pos] END) ORDER BY pos) FILTER (pos <= indnkeyatts) AS keys,
   coalesce(list(attname ORDER BY pos) FILTER (pos > indnkeyatts), CAST([] AS VARCHAR[])) AS include
 FROM idx_pos GROUP BY catalog_id, snapshot_id, indexrelid""",
+    # The constraint that an index stands for, by numbers only: nothing else of the constraints is worked out.
+    "idx_con": """
+SELECT c.catalog_id, c.snapshot_id, c.conrelid, c.conindid, c.conname FROM raw_constraints c WHERE c.conparentid = 0 AND c.contype IN ('p', 'u') AND c.conindid <> 0""",
     "idx": """
-SELECT i.catalog_id, i.snapshot_id, r.relation_id, i.relname AS name, i.amname AS method, k.keys, k.include, i.indisunique AS is_unique,
-  i.indisprimary AS is_primary, i.indisvalid AS valid, i.predicate, c.name AS constraint_name, i.definition
-FROM raw_indexes i JOIN rel r ON r.catalog_id = i.catalog_id AND r.snapshot_id = i.snapshot_id AND r.oid = i.indrelid
-JOIN idx_keys k ON k.catalog_id = i.catalog_id AND k.snapshot_id = i.snapshot_id AND k.indexrelid = i.indexrelid
-LEFT JOIN con c ON c.catalog_id = i.catalog_id AND c.snapshot_id = i.snapshot_id AND c.relation_id = r.relation_id AND c.index_oid = i.indexrelid AND c.ctype IN ('p', 'u')""",
+SELECT i.catalog_id, i.snapshot_id, r.relation_id, i.relname AS name, i.amname AS method, i.keys, i.include, i.indisunique AS is_unique,
+  i.indisprimary AS is_primary, i.indisvalid AS valid, i.predicate, c.conname AS constraint_name, i.definition
+FROM idx_keys i JOIN rel r ON r.catalog_id = i.catalog_id AND r.snapshot_id = i.snapshot_id AND r.oid = i.indrelid
+LEFT JOIN idx_con c ON c.catalog_id = i.catalog_id AND c.snapshot_id = i.snapshot_id AND c.conrelid = i.indrelid AND c.conindid = i.indexrelid""",
     "enums": """
 SELECT t.catalog_id, t.snapshot_id, t.enum_id, t.schema, t.name,
   coalesce((SELECT list(l.enumlabel ORDER BY l.enumsortorder) FROM raw_enum_labels l WHERE l.catalog_id = t.catalog_id AND l.snapshot_id = t.snapshot_id AND l.enumtypid = t.oid), CAST([] AS VARCHAR[])) AS "values",
@@ -184,4 +188,5 @@ def with_base(body: str, extra: dict[str, str] | None = None) -> str:
     if not needed:
         return body
     ordered = [name for name in tables if name in needed]
-    return "WITH " + ",\n".join(f"{name} AS ({tables[name].strip()})" for name in ordered) + "\n" + body.strip()
+    # Each is worked out once, however often it is read.
+    return "WITH " + ",\n".join(f"{name} AS MATERIALIZED ({tables[name].strip()})" for name in ordered) + "\n" + body.strip()
