@@ -51,7 +51,7 @@ WINDOW w AS (PARTITION BY h.catalog_id, h.relation_id ORDER BY m.spot)""",
     "dated_run": """
 SELECT *, sum(CASE WHEN before_spot = spot - 1 AND before_hash = hash THEN 0 ELSE 1 END) OVER (PARTITION BY catalog_id, relation_id ORDER BY spot) AS run FROM dated""",
     "part_line": f"""
-SELECT {REL}, row_number() OVER (PARTITION BY {REL} ORDER BY list_position(['kind', 'rows', 'partitionKey', 'cols', 'pk', 'uniq', 'checks', 'fk', 'idx', 'refBy', 'view'], section), ordinal, order_key, line) AS position,
+SELECT {REL}, row_number() OVER (PARTITION BY {REL} ORDER BY list_position(['kind', 'rows', 'partition', 'columns', 'key', 'unique', 'check', 'foreign', 'index', 'used_by', 'view'], section), ordinal, order_key, line) AS position,
   '- ' || section || ': ' || line AS line FROM all_lines""",
     "page_part": f"""
 SELECT {REL}, CAST((position - 1) // {LINES} AS INTEGER) AS part, count(*) AS n_lines, string_agg(line, chr(10) ORDER BY position) || chr(10) AS text FROM part_line GROUP BY ALL""",

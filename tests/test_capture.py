@@ -1,9 +1,9 @@
-"""The e-commerce fixture from raw extracts to detail lines, and stores."""
+"""A harbour's catalog from raw extracts to detail lines, and stores."""
 
 from __future__ import annotations
 
 import pytest
-from model import column, relation, snapshot
+from model import column, foreign_key, relation, snapshot
 from pyspark.sql import functions as F
 
 from cartulary.operators import hashes as hashing
@@ -14,148 +14,152 @@ from cartulary.sources import raw as raw_source
 from cartulary.sources import sinks
 from cartulary.sources.store import at
 
-# oid, namespace, name, kind, comment
-RELATIONS = [
-    (10, 1, "customers", "r", "Registered shop customers"), (11, 1, "products", "r", None), (12, 1, "orders", "r", None), (13, 1, "order_items", "r", None),
-    (14, 1, "returns", "r", None), (15, 1, "page_views", "p", None), (16, 1, "order_totals", "v", None), (17, 1, "Orders", "r", None),
-    (18, 1, 'odd.name/ü "q"', "r", None), (19, 2, "accounts", "r", None), (20, 1, "page_views_q3", "r", None), (21, 3, "invoices", "r", None), (22, 1, "seq", "S", None),
+SCHEMAS = {1: "port", 2: "registry", 3: "archive"}
+ENUMS = {50: (1, "cargo_class", ["dry", "wet", "reefer"]), 51: (2, "flag", ["MT", "PA"]), 52: (1, "signal", ["day", "night"]), 53: (1, "unused_mark", ["x"]), 54: (3, "elsewhere", ["y"])}
+TYPES = {"text": 40, "signals": 45, "cargo_class": 50, "flag": 51}
+
+
+def rel(oid, name, columns, schema=1, kind="r", comment=None, estimate=-1.0, child=False, constraints=(), indexes=()):
+    """One relation: columns as ``(name, type text, options)``, in order of their numbers."""
+    return {"oid": oid, "name": name, "columns": columns, "schema": schema, "kind": kind, "comment": comment, "estimate": estimate, "child": child, "constraints": constraints, "indexes": indexes}
+
+
+def key(name, kind, numbers, definition, index=0, **target):
+    return {"name": name, "kind": kind, "numbers": numbers, "definition": definition, "index": index, "to": 0, "their": None, "delete": " ", "update": " ", "late": False, **target}
+
+
+HARBOUR = [
+    rel(20, "berths", [("code", "text", {"need": 1}), ("depth_cm", "integer", {"need": 1, "default": "0"}), ("gone", "text", {"dropped": 1}), ("lamp_signals", "port.signal[]", {"need": 1, "default": "'{}'::port.signal[]", "kind": "signals"}),
+                       ("owner_id", "bigint", {})], comment="Places to moor", estimate=7.5,
+        constraints=[key("berths_pkey", "p", [1], "PRIMARY KEY (code)", 301), key("berths_depth_cm_key", "u", [2], "UNIQUE (depth_cm)", 302),
+                     key("berths_owner_id_fkey", "f", [5], "FOREIGN KEY (owner_id) REFERENCES registry.owners(id)", to=29, their=[1], delete="a", update="a")],
+        indexes=[(301, "berths_pkey", True, True, [1], None, "(code)"), (302, "berths_depth_cm_key", True, True, [2], None, "(depth_cm)"), (303, "berths_upper_idx", False, True, [0], "upper(code)", "(upper(code))")]),
+    rel(21, "tugs", [("id", "bigint", {"need": 1, "identity": "a"}), ("call_sign", "text", {"need": 1}), ("pull_kn", "integer", {"need": 1}), ("pull_t", "integer", {"computed": "(pull_kn / 10)"}),
+                     ("flag", "registry.flag", {"need": 1, "default": "'MT'::registry.flag", "kind": "flag"})], estimate=float("nan"),
+        constraints=[key("tugs_pkey", "p", [1], "PRIMARY KEY (id)"), key("tugs_call_sign_key", "u", [2], "UNIQUE (call_sign)")]),
+    rel(22, "moorings", [("id", "uuid", {"need": 1, "default": "new_id()"}), ("berth_code", "text", {"need": 1}), ("agent_phone", "text", {"need": 1}),
+                         ("cargo", "port.cargo_class", {"need": 1, "default": "'dry'::port.cargo_class", "kind": "cargo_class"})],
+        constraints=[key("moorings_pkey", "p", [1], "PRIMARY KEY (id)"), key("moorings_berth_code_fkey", "f", [2], "FOREIGN KEY (berth_code) REFERENCES port.berths(code)", to=20, their=[1], delete="a", update="a")],
+        indexes=[(304, "moorings_cargo_idx", False, True, [4, 2], None, "(cargo) INCLUDE (berth_code)"), (305, "half_built", True, False, [3], None, "(agent_phone)")]),
+    rel(23, "tows", [("mooring_id", "uuid", {"need": 1}), ("tug_id", "bigint", {"need": 1}), ("metres", "integer", {"need": 1})],
+        constraints=[key("tows_pkey", "p", [1, 2], "PRIMARY KEY (mooring_id, tug_id)"), key("tows_some_way", "c", [3], "CHECK (metres > 0)"),
+                     key("tows_mooring_id_fkey", "f", [1], "FOREIGN KEY (mooring_id) REFERENCES port.moorings(id) ON DELETE CASCADE", to=22, their=[1], delete="c", update="a")]),
+    rel(24, "tow_damages", [("id", "bigint", {"need": 1, "identity": "d"}), ("mooring_id", "uuid", {"need": 1}), ("tug_id", "bigint", {"need": 1})],
+        constraints=[key("damage_of_tow", "f", [2, 3], "FOREIGN KEY (mooring_id, tug_id) REFERENCES port.tows(mooring_id, tug_id) ON UPDATE CASCADE DEFERRABLE INITIALLY DEFERRED", to=23, their=[1, 2], delete="a", update="c", late=True)],
+        indexes=[(306, "damage_by_tug", False, True, [3, 2], None, "(tug_id, mooring_id)")]),
+    rel(25, "tides", [("at", "timestamp with time zone", {"need": 1})], kind="p"), rel(30, "tides_spring", [("at", "timestamp with time zone", {"need": 1})], child=True),
+    rel(26, "berth_use", [("mooring_id", "uuid", {})], kind="v", estimate=3.0),
+    rel(27, "Moorings", [("id", "integer", {"need": 1})], constraints=[key("Moorings_pkey", "p", [1], "PRIMARY KEY (id)")]),
+    rel(28, 'pilot.log ß "b"', [("Free Text", "text", {}), ("ref.no", "integer", {})],
+        constraints=[key("logged", "f", [2], 'FOREIGN KEY ("ref.no") REFERENCES port."Moorings"(id)', to=27, their=[1], delete="a", update="a")]),
+    rel(29, "owners", [("id", "bigint", {"need": 1})], schema=2), rel(31, "bills", [("id", "bigint", {})], schema=3), rel(32, "next_tow", [], kind="S"),
 ]
-# relation, number, name, type oid, type, not null, expression, generated, identity
-ATTRIBUTES = [
-    (10, 1, "id", 1, "uuid", True, "gen_random_uuid()", "", ""), (10, 2, "email", 1, "text", True, None, "", ""), (10, 3, "dropped", 1, "text", False, None, "", ""),
-    (10, 4, "tokens_used_count", 1, "integer", True, "0", "", ""), (10, 5, "preferred_channels", 6, "public.contact_channel[]", True, "'{}'::public.contact_channel[]", "", ""),
-    (10, 6, "account_id", 1, "bigint", False, None, "", ""), (10, -1, "ctid", 1, "tid", True, None, "", ""),
-    (11, 1, "id", 1, "bigint", True, None, "", "a"), (11, 2, "sku", 1, "text", True, None, "", ""), (11, 3, "price_cents", 1, "integer", True, None, "", ""),
-    (11, 4, "price_with_tax_cents", 1, "integer", False, "((price_cents * 120) / 100)", "s", ""), (11, 5, "currency", 4, "ext.currency", True, "'TRY'::ext.currency", "", ""),
-    (12, 1, "id", 1, "uuid", True, "gen_random_uuid()", "", ""), (12, 2, "customer_id", 1, "uuid", True, None, "", ""), (12, 3, "customer_email", 1, "text", True, None, "", ""),
-    (12, 4, "status", 3, "public.order_status", True, "'pending'::public.order_status", "", ""),
-    (13, 1, "order_id", 1, "uuid", True, None, "", ""), (13, 2, "product_id", 1, "bigint", True, None, "", ""), (13, 3, "quantity", 1, "integer", True, None, "", ""),
-    (14, 1, "id", 1, "bigint", True, None, "", "d"), (14, 2, "order_id", 1, "uuid", True, None, "", ""), (14, 3, "product_id", 1, "bigint", True, None, "", ""),
-    (15, 1, "viewed_at", 1, "timestamp with time zone", True, None, "", ""), (16, 1, "order_id", 1, "uuid", False, None, "", ""), (17, 1, "id", 1, "integer", True, None, "", ""),
-    (18, 1, "Mixed Case", 1, "text", False, None, "", ""), (18, 2, "dotted.col", 1, "integer", False, None, "", ""), (19, 1, "id", 1, "bigint", True, None, "", ""),
-]
-# name, relation, type, key, target, target key, on delete, on update, deferrable, deferred, index, definition
-CONSTRAINTS = [
-    ("customers_pkey", 10, "p", [1], 0, None, " ", " ", False, False, 101, "PRIMARY KEY (id)"), ("customers_email_key", 10, "u", [2], 0, None, " ", " ", False, False, 102, "UNIQUE (email)"),
-    ("customers_account_id_fkey", 10, "f", [6], 19, [1], "a", "a", False, False, 0, "FOREIGN KEY (account_id) REFERENCES ext.accounts(id)"),
-    ("products_pkey", 11, "p", [1], 0, None, " ", " ", False, False, 0, "PRIMARY KEY (id)"), ("products_sku_key", 11, "u", [2], 0, None, " ", " ", False, False, 0, "UNIQUE (sku)"),
-    ("orders_pkey", 12, "p", [1], 0, None, " ", " ", False, False, 0, "PRIMARY KEY (id)"),
-    ("orders_customer_id_fkey", 12, "f", [2], 10, [1], "a", "a", False, False, 0, "FOREIGN KEY (customer_id) REFERENCES public.customers(id)"),
-    ("order_items_pkey", 13, "p", [1, 2], 0, None, " ", " ", False, False, 0, "PRIMARY KEY (order_id, product_id)"),
-    ("order_items_order_id_fkey", 13, "f", [1], 12, [1], "c", "a", False, False, 0, "FOREIGN KEY (order_id) REFERENCES public.orders(id) ON DELETE CASCADE"),
-    ("order_items_quantity_positive", 13, "c", [3], 0, None, " ", " ", False, False, 0, "CHECK (quantity > 0)"),
-    ("returns_order_item_fkey", 14, "f", [2, 3], 13, [1, 2], "a", "c", True, True, 0,
-     "FOREIGN KEY (order_id, product_id) REFERENCES public.order_items(order_id, product_id) ON UPDATE CASCADE DEFERRABLE INITIALLY DEFERRED"),
-    ("Orders_pkey", 17, "p", [1], 0, None, " ", " ", False, False, 0, "PRIMARY KEY (id)"),
-    ("odd_fk", 18, "f", [2], 17, [1], "a", "a", False, False, 0, 'FOREIGN KEY ("dotted.col") REFERENCES public."Orders"(id)'),
-]
-# oid, relation, name, unique, primary, valid, keys, positions, expressions, predicate, definition
-INDEXES = [
-    (101, 10, "customers_pkey", True, True, True, 1, [1], ["id"], None, "CREATE UNIQUE INDEX customers_pkey ON public.customers USING btree (id)"),
-    (102, 10, "customers_email_key", True, False, True, 1, [2], ["email"], None, "CREATE UNIQUE INDEX customers_email_key ON public.customers USING btree (email)"),
-    (103, 10, "customers_lower_email_idx", False, False, True, 1, [0], ["lower(email)"], None, "CREATE INDEX customers_lower_email_idx ON public.customers USING btree (lower(email))"),
-    (104, 12, "orders_status_idx", False, False, True, 1, [4, 2], ["status"], None, "CREATE INDEX orders_status_idx ON public.orders USING btree (status) INCLUDE (customer_id)"),
-    (105, 14, "returns_product_order_idx", False, False, True, 2, [3, 2], ["product_id", "order_id"], None, "CREATE INDEX returns_product_order_idx ON public.returns USING btree (product_id, order_id)"),
-    (106, 12, "broken", True, False, False, 1, [3], ["customer_email"], None, "CREATE UNIQUE INDEX broken ON public.orders USING btree (customer_email)"),
-]
-ENUMS = {3: (1, "order_status", ["pending", "paid"]), 4: (2, "currency", ["TRY", "EUR"]), 5: (1, "contact_channel", ["email", "sms"]), 7: (1, "legacy_region", ["north"]), 8: (3, "far", ["x"])}
 
 
 def extracts(spark):
     k = ("c", "s1")
-    view = " SELECT o.id AS order_id FROM orders o;\n"
-    types = [(*k, 1, 0, "text", "b", "S", 0), (*k, 6, 1, "_contact_channel", "b", "A", 5)] + [(*k, o, n, t, "e", "E", 0) for o, (n, t, _) in ENUMS.items()]
+    names = {r["oid"]: f'{SCHEMAS[r["schema"]]}.{r["name"]}' for r in HARBOUR}
+    columns = [(r, n, name, text, o) for r in HARBOUR for n, (name, text, o) in enumerate(r["columns"], 1)]
+    hidden = [(HARBOUR[0], -1, "xmin", "xid", {"need": 1})]
     rows = {
-        "scopes": [(*k, "public", 1)],
-        "namespaces": [(*k, 1, "public"), (*k, 2, "ext"), (*k, 3, "billing")],
-        "relations": [(*k, o, n, name, kind, {10: 7.5, 11: float("nan"), 16: 3.0}.get(o, -1.0), c, view, "RANGE (viewed_at)", o == 20) for o, n, name, kind, c in RELATIONS],
-        "attributes": [(*k, r, n, name, t, text, nn, g, e, i, None, name == "dropped") for r, n, name, t, text, nn, e, g, i in ATTRIBUTES],
-        "types": types,
+        "scopes": [(*k, "port", 1)],
+        "namespaces": [(*k, number, name) for number, name in SCHEMAS.items()],
+        "relations": [(*k, r["oid"], r["schema"], r["name"], r["kind"], r["estimate"], r["comment"], " SELECT m.id AS mooring_id FROM moorings m;\n", "RANGE (at)", r["child"]) for r in HARBOUR],
+        "attributes": [
+            (*k, r["oid"], n, name, TYPES[o.get("kind", "text")], text, "need" in o, "s" if "computed" in o else "", o.get("computed", o.get("default")), o.get("identity", ""), None, "dropped" in o)
+            for r, n, name, text, o in columns + hidden],
+        "types": [(*k, 40, 1, "text", "b", "S", 0), (*k, 45, 1, "_signal", "b", "A", 52)] + [(*k, o, n, t, "e", "E", 0) for o, (n, t, _) in ENUMS.items()],
         "enum_labels": [(*k, o, float(len(v) - i), label) for o, (_, _, v) in ENUMS.items() for i, label in enumerate(reversed(v))],
-        "constraints": [(*k, n, r, t, key, ref, rk, d, u, "s", df, dd, True, ix, 0, text) for n, r, t, key, ref, rk, d, u, df, dd, ix, text in CONSTRAINTS],
-        "indexes": [(*k, o, r, n, "btree", u, p, v, nk, pos, ex, pred, text) for o, r, n, u, p, v, nk, pos, ex, pred, text in INDEXES],
+        "constraints": [
+            (*k, c["name"], r["oid"], c["kind"], c["numbers"], c["to"], c["their"], c["delete"], c["update"], "s", c["late"], c["late"], True, c["index"], 0, c["definition"]) for r in HARBOUR for c in r["constraints"]],
+        "indexes": [
+            (*k, oid, r["oid"], name, "btree", unique, name.endswith("_pkey"), valid, 1 if "INCLUDE" in over else len(places), places, [expression or over.strip("()").split(",")[0]] * len(places), None,
+             f"CREATE {'UNIQUE ' if unique else ''}INDEX {name} ON {names[r['oid']]} USING btree {over}")
+            for r in HARBOUR for oid, name, unique, valid, places, expression, over in r["indexes"]],
     }
     return {name: spark.createDataFrame(rows[name], schema) for name, schema in raw_source.SCHEMAS.items()}
 
 
 @pytest.fixture(scope="module")
-def shop(spark, tmp_path_factory):
-    return capture(extracts(spark), str(tmp_path_factory.mktemp("shop")))
+def harbour(spark, tmp_path_factory):
+    return capture(extracts(spark), str(tmp_path_factory.mktemp("harbour")))
+
+
+def test_captured_relations_and_enums(harbour):
+    rows = {r.relation_id: r for r in harbour["relations"].collect()}
+    assert set(rows) == {f"port.{n}" for n in ("berths", "tugs", "moorings", "tows", "tow_damages", "tides", "berth_use", '"Moorings"', '"pilot.log ß ""b"""')}
+    assert [rows[f"port.{n}"].row_estimate for n in ("berths", "tugs", "moorings", "berth_use")] == [8, None, None, None]
+    assert (rows["port.tides"].kind, rows["port.tides"].partition_key) == ("partitioned_table", "RANGE (at)")
+    enums = {r.enum_id: (r["values"], r.external) for r in harbour["enums"].collect()}
+    assert enums == {"port.cargo_class": (["dry", "wet", "reefer"], False), "registry.flag": (["MT", "PA"], True), "port.signal": (["day", "night"], False), "port.unused_mark": (["x"], False)}
+    signals = harbour["columns"].filter("name = 'lamp_signals'").first()
+    assert (signals.enum_id, signals.ordinal) == ("port.signal", 3)
+
+
+LINES = {
+    ("moorings", "columns"): ["id uuid; primary key; default new_id()", "berth_code text; required; to port.berths.code", "agent_phone text; required; sensitive", "cargo port.cargo_class; required; default 'dry'"],
+    ("tugs", "columns"): ["id bigint; primary key; identity always", "call_sign text; required; unique", "pull_kn integer; required", "pull_t integer; computed (pull_kn / 10)", "flag registry.flag; required; default 'MT'"],
+    ('"pilot.log ß ""b"""', "columns"): ['"Free Text" text', '"ref.no" integer; to port."Moorings".id named logged'],
+    ("tows", "columns"): ["mooring_id uuid; required; to port.moorings.id on delete cascade", "tug_id bigint; required", "metres integer; required"],
+    ("tows", "key"): ["tows_pkey (mooring_id, tug_id)"], ("tows", "check"): ["tows_some_way = CHECK (metres > 0)"], ("tows", "used_by"): ["port.tow_damages (mooring_id, tug_id)"],
+    ("tow_damages", "foreign"): ["damage_of_tow (mooring_id, tug_id) to port.tows (mooring_id, tug_id); on update cascade; deferrable; initially deferred"],
+    ("moorings", "index"): ["half_built (agent_phone); unique; unusable", "moorings_cargo_idx (cargo) INCLUDE (berth_code)"], ("berths", "index"): ["berths_upper_idx (upper(code))"],
+    ("berth_use", "view"): ["SELECT m.id AS mooring_id FROM moorings m;"]}
 
 
-def lines_of(shop, spark):
+def test_lines(harbour, spark):
     none = spark.createDataFrame([], "catalog_id string, relation_id string, name string, sensitive boolean")
     found = {}
-    for r in lines.all_lines(shop, none).orderBy("relation_id", "section", "ordinal", "order_key").collect():
-        found.setdefault((r.relation_id, r.section), []).append(r.line)
-    return found
-
-
-def test_captured_relations_and_enums(shop):
-    rows = {r.relation_id: r for r in shop["relations"].collect()}
-    assert sorted(rows) == sorted(
-        ["public.customers", "public.products", "public.orders", "public.order_items", "public.returns", "public.page_views", "public.order_totals",
-         'public."Orders"', 'public."odd.name/ü ""q"""'])
-    assert (rows["public.customers"].row_estimate, rows["public.products"].row_estimate, rows["public.orders"].row_estimate, rows["public.order_totals"].row_estimate) == (8, None, None, None)
-    assert rows["public.page_views"].kind == "partitioned_table" and rows["public.page_views"].partition_key == "RANGE (viewed_at)"
-    enums = {r.enum_id: (r["values"], r.external) for r in shop["enums"].collect()}
-    assert enums == {"public.order_status": (["pending", "paid"], False), "ext.currency": (["TRY", "EUR"], True),
-                     "public.contact_channel": (["email", "sms"], False), "public.legacy_region": (["north"], False)}
-    channels = shop["columns"].filter("name = 'preferred_channels'").first()
-    assert (channels.enum_id, channels.ordinal) == ("public.contact_channel", 4)
-
-
-def test_detail_lines(shop, spark):
-    found = lines_of(shop, spark)
-    assert found["public.orders", "cols"] == [
-        "id uuid PK DEFAULT gen_random_uuid()", "customer_id uuid NOT NULL FK→public.customers.id", "customer_email text NOT NULL SENSITIVE",
-        "status public.order_status NOT NULL DEFAULT 'pending'"]
-    assert found["public.products", "cols"] == [
-        "id bigint PK IDENTITY ALWAYS", "sku text NOT NULL UNIQUE", "price_cents integer NOT NULL",
-        "price_with_tax_cents integer GENERATED AS ((price_cents * 120) / 100)", "currency ext.currency NOT NULL DEFAULT 'TRY'"]
-    assert found['public."odd.name/ü ""q"""', "cols"] == ['"Mixed Case" text', '"dotted.col" integer FK(odd_fk)→public."Orders".id']
-    assert found["public.order_items", "pk"] == ["order_items_pkey(order_id,product_id)"]
-    assert found["public.order_items", "checks"] == ["order_items_quantity_positive: CHECK (quantity > 0)"]
-    assert found["public.order_items", "refBy"] == ["public.returns.(order_id,product_id)"]
-    assert found["public.returns", "fk"] == [
-        "returns_order_item_fkey(order_id,product_id)→public.order_items(order_id,product_id) ON UPDATE CASCADE DEFERRABLE INITIALLY DEFERRED"]
-    assert found["public.orders", "idx"] == ["broken UNIQUE INVALID (customer_email)", "orders_status_idx(status) INCLUDE (customer_id)"]
-    assert found["public.customers", "idx"] == ["customers_lower_email_idx(lower(email))"]
-    assert found["public.order_totals", "view"] == ["SELECT o.id AS order_id FROM orders o;"]
-
-
-def test_neighbours_external_and_names(shop, spark):
+    for r in lines.all_lines(harbour, none).orderBy("relation_id", "section", "ordinal", "order_key").collect():
+        found.setdefault((r.relation_id.removeprefix("port."), r.section), []).append(r.line)
+    assert {k: found.get(k) for k in LINES} == LINES
+
+
+def test_a_human_answer_wins(harbour, spark):
+    said = spark.createDataFrame([("c", "port.moorings", "agent_phone", False), ("c", "port.tugs", "call_sign", True)], "catalog_id string, relation_id string, name string, sensitive boolean")
+    found = {r.line for r in lines.column_lines(harbour, said).collect()}
+    assert {"agent_phone text; required", "call_sign text; required; unique; sensitive"} <= found
+
+
+def test_definitions_that_say_more(spark):
+    """What the fields do not tell is kept as the server printed it."""
+    more = "FOREIGN KEY (a) REFERENCES public.parent(id) ON DELETE SET NULL (a)"
+    made = snapshot(spark, relations=[relation("t")], columns=[column("t", 1, "a")], foreign_keys=[foreign_key("t", ["a"], name="f", definition=more)])
+    assert [r.line for r in lines.foreign_key_lines(made).collect()] == [f"f = {more}"]
+
+
+def test_neighbours_external_and_names(harbour, spark):
     requests = spark.createDataFrame(
-        [("c", 1, 0, "orders"), ("c", 1, 1, "Public.Customers"), ("c", 1, 2, "orders"), ("c", 2, 0, '"Orders"'), ("c", 2, 1, '"ORDERS"'), ("c", 2, 2, "a.b.c")],
+        [("c", 1, 0, "moorings"), ("c", 1, 1, "Port.Berths"), ("c", 1, 2, "moorings"), ("c", 2, 0, '"Moorings"'), ("c", 2, 1, '"MOORINGS"'), ("c", 2, 2, "x.y.z")],
         "catalog_id string, request_id int, pos int, input string")
-    known = shop["relations"].select("catalog_id", "relation_id", "name")
-    resolved, candidates = detail.resolve_names(requests, known, shop["scopes"])
+    known = harbour["relations"].select("catalog_id", "relation_id", "name")
+    resolved, candidates = detail.resolve_names(requests, known, harbour["scopes"])
     assert [r.code for r in resolved.orderBy("request_id", "pos").collect()] == ["ok", "ok", "ok", "ok", "unknown_relation", "invalid_name"]
-    assert {r.candidate for r in candidates.collect()} == {'public."Orders"', "public.orders"}
+    assert {r.candidate for r in candidates.collect()} == {'port."Moorings"', "port.moorings"}
     assert [(r.request_id, r.code) for r in detail.first_problems(resolved).collect()] == [(2, "unknown_relation")]
     assert [(r.request_id, r.code) for r in detail.first_problems(resolved, 1).orderBy("request_id").collect()] == [(1, "too_many_relations"), (2, "unknown_relation")]
     assert detail.accepted(resolved, 1).count() == 0
     accepted = detail.accepted(resolved)
-    assert [r.relation_id for r in accepted.orderBy("pos").collect()] == ["public.orders", "public.customers"]
-    chosen = detail.selection(shop, accepted, related=True)
-    assert [r.relation_id for r in chosen.orderBy("is_neighbor", "pos").collect()] == ["public.orders", "public.customers", "public.order_items"]
-    assert [r.ref for r in detail.detail_external(shop, chosen).collect()] == ["ext.accounts"]
+    assert [r.relation_id for r in accepted.orderBy("pos").collect()] == ["port.moorings", "port.berths"]
+    chosen = detail.selection(harbour, accepted, related=True)
+    assert [r.relation_id for r in chosen.orderBy("is_neighbor", "pos").collect()] == ["port.moorings", "port.berths", "port.tows"]
+    assert [r.ref for r in detail.detail_external(harbour, chosen).collect()] == ["registry.owners"]
 
 
-def test_json_export_round_trip(shop, spark, tmp_path):
-    sinks.export_json(shop, str(tmp_path / "json"))
-    schemas = {"relations": sinks.nested_relations(shop).schema, **{n: shop[n].schema for n in ("enums", "snapshots", "scopes")}}
+def test_json_export_round_trip(harbour, spark, tmp_path):
+    sinks.export_json(harbour, str(tmp_path / "json"))
+    schemas = {"relations": sinks.nested_relations(harbour).schema, **{n: harbour[n].schema for n in ("enums", "snapshots", "scopes")}}
     again = sinks.import_json(spark, str(tmp_path / "json"), schemas)
     recomputed = hashing.relation_hashes(again).select("relation_id", "hash", "doc_hash")
-    want = {tuple(r) for r in shop["hashes"].select("relation_id", "hash", "doc_hash").collect()}
+    want = {tuple(r) for r in harbour["hashes"].select("relation_id", "hash", "doc_hash").collect()}
     assert {tuple(r) for r in recomputed.collect()} == want
     stored = again["snapshots"].select("*", F.lit(2).alias("format"), F.lit("pg-catalog-v1").alias("coverage"))
     assert all(r.ok for r in reports.snapshot_checks(again, stored).collect())
 
 
-def test_capture_twice_is_equal(shop, spark, tmp_path):
+def test_capture_twice_is_equal(harbour, spark, tmp_path):
     again = capture(extracts(spark), str(tmp_path))
-    assert again["snapshots"].select("revision").collect() == shop["snapshots"].select("revision").collect()
+    assert again["snapshots"].select("revision").collect() == harbour["snapshots"].select("revision").collect()
     assert at(again, "s2")["relations"].count() == 0
 
 
