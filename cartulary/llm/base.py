@@ -52,6 +52,23 @@ def numbered(df: DataFrame, order: list[str], name: str, by: list[str] | None =
     return ranged.join(offsets, "__part").select(*df.columns, (F.col("__seq") - F.col("__first") + F.col("__before")).alias(name))
 
 
+def identified(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame | None]:
+    """``docs`` with ``__id``, a number for each row in the order of ``key`` (null last), and what key each number has.
+
+    Where every key is there once, the number is the key itself, and there is
+    no such table. Otherwise rows are numbered by key and a 64-bit hash of key
+    and text; rows that agree in both are one document told twice and share a
+    number.
+    """
+    several = docs.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).filter((F.col("__n") > 1) | F.col(key).isNull())
+    if not several.limit(1).count():
+        return docs.withColumn("__id", F.col(key).cast("long")), None
+    own = F.xxhash64(F.col(key).isNull(), key, text)
+    known = docs.select(own.alias("__self"), F.col(key).isNull().alias("__null"), F.col(key).alias("__key")).distinct()
+    numbers = land(numbered(known, ["__null", "__key", "__self"], "__id"), "numbers")
+    return docs.withColumn("__self", own).join(numbers.select("__self", "__id"), "__self").drop("__self"), numbers.select("__id", "__key")
+
+
 def marked(rows: DataFrame, key: str, members: DataFrame, member: str) -> DataFrame:
     """``rows`` with ``__maybe``: false only where ``key`` is not among ``members``.
 

@@ -10,8 +10,6 @@ a single word, so the ids are the same.
 from __future__ import annotations
 
 import hashlib
-import json
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,34 +20,21 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, Stru
 
 from . import flat
 from .base import column, pieces, texts
-from .vocabulary import ChunkIds
-
-#: White space as the library means it.
-_WHITE = r"\p{White_Space}"
-
-
-def _byte_letters() -> list[str]:
-    """The letter that stands for each byte: printable Latin-1 for itself, the others from U+0100 on."""
-    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    rest = iter(range(256, 512))
-    return [chr(b) if b in printable else chr(next(rest)) for b in range(256)]
+from .vocabulary import ChunkIds, Splitter, byte_letters
 
 
 class WordBpe:
     """A word-end BPE vocabulary: normalising, splitting, merging and decoding."""
 
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as file:
-            told = json.load(file)
+        self.splitter = Splitter(path)
+        told = self.splitter.told
         model = told["model"]
         vocab: dict[str, int] = model["vocab"]
         self.end = model["end_of_word_suffix"]
         self.special = {t["content"]: t["id"] for t in told["added_tokens"] if t["special"]}
-        parts = told["pre_tokenizer"]["pretokenizers"]
-        pattern = next(p["pattern"]["Regex"] for p in parts if p["type"] == "Split")
-        self.split = regex.compile(pattern.replace(r"\s", _WHITE), regex.V0)
         self.mark = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special))) + ")") if self.special else None
-        letters = _byte_letters()
+        letters = byte_letters()
         self.inner = np.array([vocab[c] for c in letters], np.int64)
         self.last = np.array([vocab[c + self.end] for c in letters], np.int64)
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
@@ -70,10 +55,7 @@ class WordBpe:
             if part in self.special:
                 found.append(self.special[part])
                 continue
-            part = unicodedata.normalize("NFC", part)
-            # One character at a time: a final sigma has no context here.
-            part = part.lower() if "Σ" not in part else "".join(c.lower() for c in part)
-            found += [w.encode("utf-8") for w in self.split.findall(part)]
+            found += self.splitter.words(part)
         return found
 
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

@@ -70,6 +70,32 @@ def grams(sums: np.ndarray, n: int) -> np.ndarray:
     return mix((sums[n:] - sums[:-n]) * _inverses[: len(sums) - n])
 
 
+def hashed(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of ranges that are read once, such as words and lines.
+
+    Eight bytes at a time are mixed with their place in the range before they
+    are added up: unlike the sums of ``prefix``, whose ranges of a thousand
+    bytes and more can be made to meet, no two texts are known to collide.
+    """
+    size = (end - start).astype(np.int64)
+    blocks = (size + 7) // 8
+    ends = np.cumsum(blocks)
+    owner = np.repeat(np.arange(len(size)), blocks)
+    place = np.arange(len(owner)) - np.repeat(ends - blocks, blocks)
+    at = start[owner] + 8 * place
+    left = size[owner] - 8 * place
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    value = np.zeros(len(owner), U)
+    for i in range(8):
+        value |= np.where(left > i, padded[at + i], 0).astype(U) << U(8 * i)
+    mixed = mix(mix(place.astype(U) + U(_R)) ^ mix(value + U(1)))
+    sums = np.zeros(len(size), U)
+    filled = np.flatnonzero(blocks)
+    if len(filled):
+        sums[filled] = np.add.reduceat(mixed, (ends - blocks)[filled])
+    return mix(sums + size.astype(U) * U(_R))
+
+
 def joined(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a column without nulls, and the offsets of its rows."""
     column = column.cast(pa.large_string()) if not pa.types.is_large_string(column.type) else column
@@ -99,8 +125,7 @@ class Words:
         self.start = np.flatnonzero(first)
         self.end = np.flatnonzero(last) + 1
         self.doc = np.searchsorted(self.offsets, self.start, "right") - 1
-        self.sums = prefix_bytes(self.data)
-        self.hash = ranges(self.sums, self.start, self.end)
+        self.hash = hashed(self.data, self.start, self.end)
 
     def count(self) -> np.ndarray:
         """Words of each document."""
@@ -110,6 +135,25 @@ class Words:
         return self.data[self.start[i] : self.end[i]].tobytes()
 
 
+def coded(column: pa.Array, inside: np.ndarray, lower: bool = False) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct runs of the bytes marked in ``inside`` (by byte value), compared as they are; each run's number among them, and its text."""
+    data, offsets = joined(column)
+    within = inside[data]
+    first = within.copy()
+    first[1:] &= ~within[:-1]
+    borders = offsets[1:-1]
+    borders = borders[borders < len(data)]
+    first[borders] = within[borders]
+    start = np.flatnonzero(first)
+    # Without what lies between them, runs lie one after the other.
+    kept = data[within]
+    place = np.append((np.cumsum(within) - 1)[start], len(kept)).astype(np.int64)
+    if lower:
+        kept = LOWER[kept]
+    runs_of = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(place), pa.py_buffer(kept)).dictionary_encode()
+    return runs_of.dictionary, runs_of.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.searchsorted(offsets, start, "right") - 1
+
+
 def total(doc: np.ndarray, values: np.ndarray, docs: int) -> np.ndarray:
     """Integer sums of ``values`` by document."""
     return np.bincount(doc, weights=values, minlength=docs).astype(np.int64)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from . import flat
-from .base import NONE, column, land, marked, pieces, texts
+from .base import column, identified, land, marked, pieces, texts
 from .components import components
 
 K = 32
@@ -242,11 +242,12 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     case); with fewer words the whole sequence is one. Documents are linked if
     ``100 * intersection >= percent * union``; ``component_id`` is the smallest
     key that links reach. Without words, and for null texts, the set is empty
-    and linked with nothing. A null key comes last and is given back null; rows
-    that repeat a key are one node, linked if any of them is. An empty table
-    gives an empty result; other columns are not read. Keys are integers.
+    and linked with nothing. Every row is judged by its own text: rows that
+    share a key, or have none, are nodes of their own, a null key comes last
+    and is given back null; of equal keys one row stays for the group. An empty
+    table gives an empty result; other columns are not read. Keys are integers.
     """
-    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NONE)).alias("__id"), F.col(text).alias("__text"))
+    rows, numbers = identified(docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")), "__key", "__text")
     found = land(sketches(rows, n, k), "sketches")
     groups = found.filter("n_shingles > 0").groupBy("__a", "__b").agg(F.min("__id").alias("cls"), F.min_by("__sketch", "__id").alias("sketch"))
     groups = land(groups, "classes")
@@ -258,7 +259,9 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     pairs = entries.filter("cls != hub").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct()
 
     members = entries.select("cls").distinct()
-    sets = land(full_sets(marked(rows, "__id", members, "cls").filter("__maybe"), n), "sets")
+    told = marked(rows, "__id", members, "cls").filter("__maybe")
+    # Rows that share a number have one text: one of them gives the set.
+    sets = land(full_sets(told if numbers is None else told.dropDuplicates(["__id"]), n), "sets")
     classes = land(groups.join(members.withColumnRenamed("cls", "__m"), F.col("cls") == F.col("__m"), "left_semi"), "members")
     links = land(_verified(_estimate(pairs, classes, k, percent), sets, percent), "links")
 
@@ -278,9 +281,14 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     label = components(every)
     out = found.join(groups.select("__a", "__b", "cls"), ["__a", "__b"], "left").join(label, F.col("cls") == F.col("node"), "left")
     reached = F.when(F.col("n_shingles") > 0, F.coalesce("component", "cls")).otherwise(F.col("__id"))
-    real = lambda c: F.when(c != NONE, c).cast(docs.schema[key].dataType)
+    out = out.select("__id", "n_shingles", reached.alias("__reached"))
+    if numbers is None:
+        out = out.withColumns({"__key": F.col("__id"), "__first": F.col("__reached")})
+    else:
+        out = out.join(numbers, "__id").join(numbers.select(F.col("__id").alias("__reached"), F.col("__key").alias("__first")), "__reached")
+    kind = docs.schema[key].dataType
     return out.select(
-        real(F.col("__id")).alias(key), "n_shingles", real(reached).alias("component_id"), (F.col("__id") == reached).alias("kept"))
+        F.col("__key").cast(kind).alias(key), "n_shingles", F.col("__first").cast(kind).alias("component_id"), (F.col("__id") == F.col("__reached")).alias("kept"))
 
 
 def _longs(data: F.Column) -> F.Column:

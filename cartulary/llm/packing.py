@@ -5,8 +5,8 @@ a window first fills whole windows; what is left goes to the fill level that
 makes the sum of squared counts of partially filled windows smallest. The
 counts lie in one array with an entry for each level, so a placement is one
 vector expression. The number of open windows is bounded: at the bound, a
-document is cut to complete the fullest one. At the end of a task the ids of
-its open windows run together into full windows, and the last few ids become
+document is cut to complete the fullest one. At the end of a task the fullest
+open windows are completed from the emptiest ones, and the last few ids become
 windows with a power of two as length, which need no padding.
 """
 
@@ -39,6 +39,7 @@ class SumOfSquares:
         self.open: dict[int, list[list]] = {}  # by level
         self.n_open = 0
         self.n_done = 0
+        self.n_moved = 0  # ids that did not stay where the rule put them
         self.done: list[tuple] = []  # (document, start, ids, total, sequence, offset)
 
     def _close(self, parts: list[tuple]) -> None:
@@ -90,23 +91,44 @@ class SumOfSquares:
             at += size
 
     def finish(self) -> None:
-        """Empty the open windows."""
-        rest = [p for level in sorted(self.open, reverse=True) for parts in self.open[level] for p in parts]
+        """Empty the open windows: the fullest are completed with what lies in the emptiest.
+
+        Documents stay where the rule put them, but for those of the emptiest
+        windows, which are cut as far as gaps have to be filled. What is left
+        of the last window becomes windows with a power of two as length.
+        """
+        windows = [parts for level in sorted(self.open, reverse=True) for parts in self.open[level]]
         self.open, self.n_open = {}, 0
         self.counts[:] = 0
-        left = sum(len(p[2]) for p in rest)
-        at, inside = 0, 0
-        while left:
-            room = self.window if left >= self.window else 1 << (left.bit_length() - 1)
-            left -= room
+        at, last = 0, len(windows) - 1
+        while at < last:
+            room = self.window - sum(len(p[2]) for p in windows[at])
+            while room and at < last:
+                doc, start, ids, total = windows[last].pop()
+                n = min(room, len(ids))
+                windows[at].append((doc, start, ids[:n], total))
+                room -= n
+                self.n_moved += n
+                if n < len(ids):
+                    windows[last].append((doc, start + n, ids[n:], total))
+                if not windows[last]:
+                    last -= 1
+            if not room:
+                self._close(windows[at])
+                at += 1
+        if at > last:
+            return
+        rest = windows[at]
+        while rest:
+            size = 1 << (sum(len(p[2]) for p in rest).bit_length() - 1)
             parts = []
-            while room:
-                doc, start, ids, total = rest[at]
-                n = min(room, len(ids) - inside)
-                parts.append((doc, start + inside, ids[inside : inside + n], total))
-                room, inside = room - n, inside + n
-                if inside == len(ids):
-                    at, inside = at + 1, 0
+            while size:
+                doc, start, ids, total = rest.pop(0)
+                n = min(size, len(ids))
+                parts.append((doc, start, ids[:n], total))
+                size -= n
+                if n < len(ids):
+                    rest.insert(0, (doc, start + n, ids[n:], total))
             self._close(parts)
 
 

@@ -71,7 +71,7 @@ def measure(column: pa.Array, limits: Limits) -> dict[str, np.ndarray]:
     has = np.searchsorted(w.start, end) > first
     start, end = start[has], end[has]
     doc = np.searchsorted(w.offsets, start, "right") - 1
-    _, later = _groups(flat.mix(flat.ranges(w.sums, start, end) + doc.astype(flat.U)))
+    _, later = _groups(flat.mix(flat.hashed(w.data, start, end) + doc.astype(flat.U)))
     out["n_dup_lines"] = flat.total(doc, later, docs)
     many = np.maximum(out["word_chars"], 1)
     inside = np.zeros(words + 1, np.int64)

@@ -45,22 +45,7 @@ class Terms:
     """Terms of some texts without nulls, as distinct strings and a number for each occurrence."""
 
     def __init__(self, column: pa.Array):
-        data, offsets = flat.joined(column)
-        inside = _TERM[data]
-        first = inside.copy()
-        first[1:] &= ~inside[:-1]
-        borders = offsets[1:-1]
-        borders = borders[borders < len(data)]
-        first[borders] = inside[borders]
-        start = np.flatnonzero(first)
-        self.doc = np.searchsorted(offsets, start, "right") - 1
-        # Without what lies between them, terms lie one after the other.
-        place = np.cumsum(inside) - 1
-        kept = flat.LOWER[data[inside]]
-        borders = np.append(place[start], len(kept)).astype(np.int64)
-        coded = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(borders), pa.py_buffer(kept)).dictionary_encode()
-        self.distinct = coded.dictionary
-        self.number = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        self.distinct, self.number, self.doc = flat.coded(column, _TERM, lower=True)
         self.count = np.bincount(self.doc, minlength=len(column)).astype(np.int64)
 
 

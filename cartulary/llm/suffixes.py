@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import flat
-from .base import NONE, column, land, marked, pieces, texts
+from .base import column, identified, land, marked, pieces, texts
 
 WIDTH = 100
 ANCHOR = 24
@@ -301,15 +301,15 @@ def repeats(rows: DataFrame, width: int = WIDTH, many: int = MANY) -> DataFrame:
 
 
 def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NONE)).alias("__id"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
+    """``__id, __key, __text`` of every row."""
+    rows = docs.select(F.col(key).alias("__key"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
+    return identified(rows, "__key", "__text")[0].select("__id", "__key", "__text")
 
 
 def _cut(data: bytes, intervals) -> tuple[int, int, bytes]:
     """Bytes removed, maximal runs of them, and what is left."""
     lo, hi = (np.array([x[c] for x in intervals], np.int64) for c in ("lo", "hi"))
-    # Repeated keys may bring intervals of another text.
-    lo, hi = spans(np.minimum(lo, len(data)), np.minimum(hi, len(data)))
-    lo, hi = lo[hi > lo], hi[hi > lo]
+    lo, hi = spans(lo, hi)
     edges = [0, *np.column_stack((lo, hi)).ravel().tolist(), len(data)]
     return int((hi - lo).sum()), len(lo), b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2]))
 
@@ -320,42 +320,47 @@ def trimmed(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
     Every byte in a string of ``width`` bytes that also starts earlier (smaller
     key, or earlier in the same text) is removed; overlaps count, and strings
     are judged on the whole input. Null is an empty text; texts under ``width``
-    bytes stay whole. A null key comes last; rows that repeat a key are one
-    document, in which equal places are one occurrence. An empty table gives an
-    empty result; other columns are not read. Keys are integers.
+    bytes stay whole. A null key comes last. Rows that share a key, or have none,
+    are documents of their own, ordered by a hash of their text; rows that
+    agree in key and text are one document told twice and cut alike. An empty
+    table gives an empty result; other columns are not read. Keys are integers.
     """
     rows = _rows(docs, key, text)
     found = repeats(rows, width)
+    kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [(*_cut(data.as_buffer().to_pybytes(), told.as_py() or []),) for data, told in zip(column(batch, "__data"), column(batch, "__spans"))]
             columns = [pa.array([o[i] for o in out], pa.int64()) for i in (0, 1)] + [pa.array([hashlib.sha256(o[2]).hexdigest() for o in out], pa.string())]
-            yield pa.RecordBatch.from_arrays([column(batch, "__id"), column(batch, "n_bytes"), *columns], ["__id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([column(batch, "__key"), column(batch, "n_bytes"), *columns], ["__key", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     split = marked(rows, "__id", found, "__id").withColumn("n_bytes", F.octet_length("__text").cast("long"))
     plain = split.filter("not __maybe").select(
-        "__id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(F.col("__text"), 256).alias("kept_sha256"))
-    touched = split.filter("__maybe").select("__id", "n_bytes", F.col("__text").cast("binary").alias("__data")).join(found, "__id", "left")
-    done = touched.select("__id", "n_bytes", "__data", "__spans").mapInArrow(run, "__id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    real = F.when(F.col("__id") != NONE, F.col("__id")).cast(docs.schema[key].dataType)
-    return plain.unionByName(done).select(real.alias(key), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+        "__key", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(F.col("__text"), 256).alias("kept_sha256"))
+    touched = split.filter("__maybe").select("__id", "__key", "n_bytes", F.col("__text").cast("binary").alias("__data")).join(found, "__id", "left")
+    done = touched.select("__key", "n_bytes", "__data", "__spans").mapInArrow(run, f"__key {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return plain.unionByName(done).select(F.col("__key").alias(key), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
-    """``docs`` with repeated bytes cut out of ``text``; parts of characters that a cut leaves go too."""
-    found = repeats(_rows(docs, key, text), width)
+    """``docs`` with repeated bytes cut out of ``text``; parts of characters that a cut leaves go too.
+
+    Every row stays, with all its other columns; rows are told apart as in ``trimmed``.
+    """
+    others = [c for c in docs.columns if c != text]
+    rows, _ = identified(docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"), F.struct(*others).alias("__rest")), "__key", "__text")
+    found = repeats(rows.select("__id", F.coalesce("__text", F.lit("")).alias("__text")), width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            i = batch.schema.names.index(text)
             new = [
                 None if value is None else _cut(value.encode("utf-8"), told)[2].decode("utf-8", "ignore") if told else value
-                for value, told in zip(batch.column(i).to_pylist(), column(batch, "__spans").to_pylist())]
-            arrays = [pa.array(new, pa.string()) if j == i else batch.column(j) for j in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays(arrays, batch.schema.names[:-1])
-
-    keyed = docs.withColumn("__id", F.coalesce(F.col(key).cast("long"), F.lit(NONE)))
-    split = marked(keyed, "__id", found, "__id")
-    touched = split.filter("__maybe").drop("__maybe").join(found.withColumnRenamed("__id", "__r"), F.col("__id") == F.col("__r"), "left").select(*docs.columns, "__spans")
-    return split.filter("not __maybe").select(*docs.columns).unionByName(touched.mapInArrow(run, docs.schema))
+                for value, told in zip(column(batch, "__text").to_pylist(), column(batch, "__spans").to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()), column(batch, "__rest")], ["__text", "__rest"])
+
+    split = marked(rows, "__id", found, "__id")
+    touched = split.filter("__maybe").join(found, "__id", "left").select("__text", "__rest", "__spans")
+    schema = split.select("__text", "__rest").schema
+    done = split.filter("not __maybe").select("__text", "__rest").unionByName(touched.mapInArrow(run, schema))
+    return done.select(*[F.col("__text").alias(c) if c == text else F.col("__rest")[c].alias(c) for c in docs.columns])

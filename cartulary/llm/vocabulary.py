@@ -2,21 +2,25 @@
 
 The tokenizer here never joins anything across white space, so a text's ids
 are the ids of its chunks ``[^\\x20\\x09-\\x0D]+`` one after the other. A task
-keeps the ids of chunks it has met, as one flat array in the order of their
-hashes; only new chunks are encoded.
+keeps the ids of chunks it has met, known by their bytes; only new chunks are
+encoded.
 """
 
 from __future__ import annotations
 
+import json
+import os
+import unicodedata
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import regex
 
 from . import flat
 
-#: Chunks a task remembers; beyond that it starts anew.
-MEMORY = 1_500_000
+#: Chunks a task remembers, and their letters; beyond that it starts anew.
+MEMORY, LETTERS = 500_000, 16_000_000
 
 
 class ChunkIds:
@@ -27,92 +31,116 @@ class ChunkIds:
         self._clear()
 
     def _clear(self) -> None:
-        self.known = np.empty(0, np.uint64)
-        self.place = np.empty(0, np.int64)  # of the sorted hashes, in the order of arrival
+        self.known: dict[str, int] = {}
+        self.letters = 0
         self.offsets = np.zeros(1, np.int64)
         self.ids = np.empty(0, np.int32)
 
-    def look_up(self, words: flat.Words) -> np.ndarray:
-        """For each word of the texts, its chunk's number in ``offsets``."""
-        if len(self.known) > self.memory:
+    def _numbers(self, chunks: list[str]) -> np.ndarray:
+        """Each distinct chunk's number in ``offsets``."""
+        if len(self.known) > self.memory or self.letters > LETTERS:
             self._clear()
-        unique, first, inverse = flat.distinct(words.hash)
-        at = np.searchsorted(self.known, unique)
-        at[at == len(self.known)] = 0
-        new = self.known[at] != unique if len(self.known) else np.ones(len(unique), bool)
-        if new.any():
-            buffer = words.data.tobytes()
-            chunks = [buffer[s:e].decode("utf-8") for s, e in zip(words.start[first[new]].tolist(), words.end[first[new]].tolist())]
-            ids, offsets = self.encode(chunks)
-            place = np.concatenate((self.place, np.arange(len(chunks)) + len(self.offsets) - 1))
-            known = np.concatenate((self.known, unique[new]))
+        new = [c for c in chunks if c not in self.known]
+        if new:
+            ids, offsets = self.encode(new)
+            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+            self.letters += sum(map(len, new))
             self.offsets = np.concatenate((self.offsets, offsets[1:] + self.offsets[-1]))
             self.ids = np.concatenate((self.ids, ids.astype(np.int32)))
-            order = np.argsort(known, kind="stable")
-            self.known, self.place = known[order], place[order]
-            at = np.searchsorted(self.known, unique)
-        return self.place[at][inverse] if len(unique) else np.empty(0, np.int64)
+        return np.fromiter((self.known[c] for c in chunks), np.int64, len(chunks))
 
     def of(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of some texts without nulls, and the offsets of the texts in them."""
-        words = flat.Words(column)
-        number = self.look_up(words)
+        chunks, which, doc = flat.coded(column, ~flat.SPACE)
+        number = self._numbers(chunks.to_pylist())[which]
         sizes = self.offsets[number + 1] - self.offsets[number]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
         source = np.arange(total) + np.repeat(self.offsets[number] - (ends - sizes), sizes)
-        per_text = flat.total(words.doc, sizes, words.docs)
+        per_text = flat.total(doc, sizes, len(column))
         return self.ids[source], np.concatenate(([0], np.cumsum(per_text)))
 
 
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte: printable Latin-1 for itself, the others from U+0100 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return [chr(b) if b in printable else chr(next(rest)) for b in range(256)]
+
+
+class Splitter:
+    """Pre-tokens of chunks as the library makes them.
+
+    Below U+0250 every code point is assigned for good, none composes with
+    another, and the tables of all versions agree; so such chunks are split
+    here. Others go through the library's own normaliser and splitter, whose
+    tables may be newer.
+    """
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        with open(path, encoding="utf-8") as file:
+            self.told = json.load(file)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        pattern = next(p["pattern"]["Regex"] for p in self.told["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
+        self.split = regex.compile(pattern.replace(r"\s", r"\p{White_Space}"), regex.V0)
+        self.settled = regex.compile("[\0-\u024f]*")
+        self.bytes_of = {ord(letter): byte for byte, letter in enumerate(byte_letters())}
+
+    def words(self, text: str) -> list[bytes]:
+        """Pre-tokens of a text without special tokens, in UTF-8."""
+        if self.settled.fullmatch(text):
+            return [w.encode("utf-8") for w in self.split.findall(text.lower())]
+        found = self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(text))
+        return [w.translate(self.bytes_of).encode("latin-1") for w, _ in found]
+
+    def count(self, text: str) -> int:
+        if text.isascii() and text.isalpha():
+            return 1
+        return len(self.split.findall(text.lower()) if self.settled.fullmatch(text) else self.words(text))
+
+
 def library_encoder(path: str) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
     """Encode distinct chunks by the tokenizers library, many in one call.
 
     Chunks are joined by spaces. The last token of each pre-token carries the
     word end, so a chunk's ids are found by counting its pre-tokens. A chunk
-    with the marks of special tokens is encoded alone.
+    with the marks of special tokens is encoded alone, and so are those of a
+    call whose count is not the expected one.
     """
-    import json
-    import os
-    import unicodedata
-
-    import regex
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
-    with open(path, encoding="utf-8") as file:
-        told = json.load(file)
-    end = told["model"]["end_of_word_suffix"]
+    splitter = Splitter(path)
+    tokenizer = splitter.tokenizer
+    end = splitter.told["model"]["end_of_word_suffix"]
     vocab = tokenizer.get_vocab()
     ends = np.zeros(max(vocab.values()) + 1, bool)
     ends[[i for t, i in vocab.items() if t.endswith(end)]] = True
-    pattern = next(p["pattern"]["Regex"] for p in told["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-    split = regex.compile(pattern.replace(r"\s", r"\p{White_Space}"))
 
-    def parts_of(chunk: str) -> int:
-        return 1 if chunk.isascii() and chunk.isalpha() else len(split.findall(unicodedata.normalize("NFC", chunk).lower()))
+    def ids_of(texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.int32) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         odd = [i for i, c in enumerate(chunks) if "<|" in c or "|>" in c]
-        own = {i: np.array(tokenizer.encode(chunks[i], add_special_tokens=False).ids, np.int32) for i in odd}
-        plain = ["" if i in own else c for i, c in enumerate(chunks)] if own else chunks
-        joined = [" ".join(plain[i : i + 500]) for i in range(0, len(plain), 500)]
-        found = [np.array(e.ids, np.int32) for e in tokenizer.encode_batch_fast(joined, add_special_tokens=False)]
-        ids = np.concatenate(found) if found else np.empty(0, np.int32)
-        counts = np.cumsum(np.array([parts_of(c) if c else 0 for c in plain], np.int64))
-        borders = np.concatenate(([0], np.flatnonzero(ends[ids]) + 1))
-        offsets = np.concatenate(([0], borders[counts]))
-        if offsets[-1] != len(ids):
-            raise ValueError("the library's pre-tokens are not the expected ones")
+        own = dict(zip(odd, ids_of([chunks[i] for i in odd])))
+        plain = [i for i in range(len(chunks)) if i not in own] if own else range(len(chunks))
+        groups = [plain[i : i + 500] for i in range(0, len(plain), 500)]
+        parts, sizes = [], np.zeros(len(chunks), np.int64)
+        for group, ids in zip(groups, ids_of([" ".join([chunks[i] for i in g]) for g in groups])):
+            borders = np.concatenate(([0], np.flatnonzero(ends[ids]) + 1))
+            counts = np.cumsum([splitter.count(chunks[i]) for i in group])
+            if counts[-1] != len(borders) - 1 or borders[-1] != len(ids):
+                own.update(zip(group, ids_of([chunks[i] for i in group])))
+                continue
+            sizes[group] = np.diff(borders[counts], prepend=0)
+            parts.append(ids)
+        ids = np.concatenate(parts) if parts else np.empty(0, np.int32)
         if own:
-            ids = np.concatenate([own.get(i, ids[offsets[i] : offsets[i + 1]]) for i in range(len(chunks))])
-            sizes = np.diff(offsets)
-            sizes[odd] = [len(own[i]) for i in odd]
-            offsets = np.concatenate(([0], np.cumsum(sizes)))
-        return ids, offsets
+            at = np.cumsum(sizes) - sizes
+            ids = np.concatenate([own[i] if i in own else ids[at[i] : at[i] + sizes[i]] for i in range(len(chunks))])
+            sizes[list(own)] = [len(x) for x in own.values()]
+        return ids, np.concatenate(([0], np.cumsum(sizes)))
 
     return encode
