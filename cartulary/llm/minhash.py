@@ -13,7 +13,12 @@
    give their pairs, a bounded number for each entry. For long ones the whole
    sets of their members, ordered by frequency, make lists by the first
    ``n - t + 1`` shingles, and what is still long is compared in tiles of
-   bounded size. No pair is left out and no table of all pairs is made.
+   bounded size. No table of all pairs is made.
+
+The sketches may leave out a pair: one whose sets are larger than ``k`` and are
+alike by exactly 80 % falls below the five standard deviations with a
+probability of some 10^-6, and the closer the sets the less. Shingles are
+compared by 64 bits of their hash in lists and by 48 when pairs are verified.
 """
 
 from __future__ import annotations
@@ -32,7 +37,10 @@ from .components import components
 
 K = 32
 SIGMAS = 5
-TILE = 256
+#: Shingles of a tile's sets together; sets of one component or list beyond that are several tiles.
+TILE = 2_000_000
+#: Sets that a matrix product compares with as many others at once.
+SIDE = 512
 #: Lists with so many members at most are paired directly, longer ones in tiles.
 SHORT = 32
 
@@ -110,17 +118,17 @@ def needed(size: F.Column, k: int, percent: int) -> F.Column:
     return F.least(F.floor((size * percent + 99) / 100), F.lit(max(likely, 1))).cast("int")
 
 
-def prefix_lists(items: DataFrame, size: F.Column, need: F.Column) -> DataFrame:
-    """``value, cls`` for the rarest values of each class that any linked class must meet.
+def prefix_lists(items: DataFrame, size: F.Column, need: F.Column, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``value, cls`` and what is to ``keep`` for the rarest values of each class that any linked class must meet.
 
-    ``items``: one row per ``cls, size, value``. Values of one class alone come
+    ``items``: one row per ``cls, size, value``, and the columns to keep, of which a class has one value. Values of one class alone come
     first in the order and need no list, so only shared ones are joined.
     """
     shared = items.groupBy("value").agg(F.count(F.lit(1)).alias("__df")).filter("__df > 1")
-    told = items.join(shared, "value").groupBy("cls", "size").agg(F.sort_array(F.collect_list(F.struct("__df", "value"))).alias("__all"))
+    told = items.join(shared, "value").groupBy(*dict.fromkeys(("cls", "size", *keep))).agg(F.sort_array(F.collect_list(F.struct("__df", "value"))).alias("__all"))
     most = F.greatest(F.lit(0), size - need + 1 - (size - F.size("__all"))).cast("int")
-    entries = told.select("cls", F.explode(F.slice("__all", F.lit(1), most)).alias("__e")).select("cls", F.col("__e.value").alias("value"))
-    return entries
+    entries = told.select("cls", *keep, F.explode(F.slice("__all", F.lit(1), most)).alias("__e"))
+    return entries.select("cls", *keep, F.col("__e.value").alias("value"))
 
 
 def _estimate(pairs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
@@ -161,7 +169,19 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def tile_links(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Which of ``left`` and ``right`` are linked: exact intersections by matrix products over shared shingles."""
+    found = [np.empty((2, 0), np.int64)]
+    for i in range(0, len(left), SIDE):
+        for j in range(0, len(right), SIDE):
+            found.append(np.stack(_block_links(left[i : i + SIDE], right[j : j + SIDE], percent)) + [[i], [j]])
+    return tuple(np.concatenate(found, axis=1))
+
+
+def _block_links(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
     sizes = [np.array([len(s) for s in side], np.int64) for side in (left, right)]
+    # Sets whose sizes differ too much are not linked, whatever they hold.
+    able = 100 * np.minimum(sizes[0][:, None], sizes[1][None, :]) >= percent * np.maximum(sizes[0][:, None], sizes[1][None, :])
+    if not able.any():
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     values, number = np.unique(np.concatenate([*left, *right]), return_inverse=True)
     rows = [np.repeat(np.arange(len(side)), n) for side, n in zip((left, right), sizes)]
     cut = int(sizes[0].sum())
@@ -180,7 +200,7 @@ def tile_links(left: list[np.ndarray], right: list[np.ndarray], percent: int) ->
             m[row[inside], p[inside]] = 1
             made.append(m)
         common += made[0] @ made[1].T
-    return np.nonzero(100 * common >= percent * (sizes[0][:, None] + sizes[1][None, :] - common))
+    return np.nonzero(able & (100 * common >= percent * (sizes[0][:, None] + sizes[1][None, :] - common)))
 
 
 def _open(entries: DataFrame) -> DataFrame:
@@ -197,40 +217,42 @@ def _short_pairs(entries: DataFrame) -> DataFrame:
 
 
 def _across(entries: DataFrame, sets: DataFrame, percent: int, tile: int = TILE) -> DataFrame:
-    """Links ``a, b`` between members of a list ``value, cls, comp`` in different components.
+    """Links ``a, b`` between members of a list ``value, cls, comp, size`` in different components.
 
-    A list is cut into tiles: a component with more than ``tile`` members has
-    tiles of its own, the rest is dealt by component. Two tiles of one
-    component are not compared.
+    A list is cut into tiles of some ``tile`` shingles: a component with more
+    has tiles of its own, the rest is dealt by component. Two tiles of one
+    component are not compared. A set goes once to each pair that its tile is
+    part of, and a list that fits into one tile is compared within itself.
     """
-    per = entries.groupBy("value", "comp").agg(F.count(F.lit(1)).alias("__c"))
+    per = entries.groupBy("value", "comp").agg(F.sum("size").alias("__c"))
     small = per.groupBy("value").agg(
         F.sum(F.when(F.col("__c") <= tile, F.col("__c")).otherwise(0)).alias("__small"), F.count(F.lit(1)).alias("__comps")).filter("__comps > 1")
     dealt = per.join(small, "value")
     own = F.col("__c") > tile
-    # A group of equal keys goes into one tile, so tiles are small only with some room: half of the bound is aimed at.
-    pieces_of = F.ceil(F.when(own, F.col("__c")).otherwise(F.col("__small")) * 2 / tile)
+    # A group of equal keys goes into one tile, so tiles are small only with some room: half of the bound is aimed at beyond the first.
+    total = F.when(own, F.col("__c")).otherwise(F.col("__small"))
+    pieces_of = F.when(total <= tile, 1).otherwise(F.ceil(total * 2 / tile))
     by = F.when(own, F.xxhash64("cls")).otherwise(F.xxhash64("comp"))
     placed = entries.join(dealt, ["value", "comp"]).select(
-        "value", "cls", "comp", F.when(own, F.col("comp")).alias("__own"), F.pmod(by, F.greatest(pieces_of, F.lit(1))).alias("__k"))
+        "value", "cls", "comp", F.when(own, F.col("comp")).alias("__own"), F.pmod(by, pieces_of).alias("__k"))
     placed = land(placed.withColumn("__tile", F.concat_ws(":", F.coalesce(F.col("__own").cast("string"), F.lit("-")), "__k")), "tiles")
     tiles = placed.select("value", "__own", "__tile").distinct()
     other = tiles.select("value", F.col("__own").alias("__own2"), F.col("__tile").alias("__tile2"))
     met = tiles.join(other, "value").filter((F.col("__tile") <= F.col("__tile2")) & ~F.coalesce(F.col("__own") == F.col("__own2"), F.lit(False)))
     met = met.select("value", F.col("__tile").alias("__t1"), F.col("__tile2").alias("__t2"))
-    first = met.withColumn("__tile", F.col("__t1")).withColumn("side", F.lit(0))
-    second = met.withColumn("__tile", F.col("__t2")).withColumn("side", F.lit(1))
+    first = met.withColumns({"__tile": F.col("__t1"), "side": F.lit(0)})
+    second = met.filter("__t1 != __t2").withColumns({"__tile": F.col("__t2"), "side": F.lit(1)})
     rows = first.unionByName(second).join(placed.select("value", "__tile", "cls", "comp"), ["value", "__tile"])
     full = rows.join(sets.select(F.col("id").alias("cls"), "set"), "cls")
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         sides = [frame[frame["side"] == s] for s in (0, 1)]
-        if not (len(sides[0]) and len(sides[1])):
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        if frame["__t1"].iloc[0] == frame["__t2"].iloc[0]:
+            sides[1] = sides[0]
         i, j = tile_links(*([unpack(x) for x in s["set"]] for s in sides), percent)
         a, b = sides[0]["cls"].to_numpy()[i], sides[1]["cls"].to_numpy()[j]
         cross = sides[0]["comp"].to_numpy()[i] != sides[1]["comp"].to_numpy()[j]
-        return pd.DataFrame({"a": a[cross], "b": b[cross]}).drop_duplicates()
+        return pd.DataFrame({"a": np.minimum(a, b)[cross], "b": np.maximum(a, b)[cross]}).drop_duplicates()
 
     return full.groupBy("value", "__t1", "__t2").applyInPandas(run, "a long, b long")
 
@@ -270,9 +292,9 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
         "value", "cls", F.coalesce("component", "cls").alias("comp"))
     open_lists = _open(known)
     left = land(open_lists.filter(F.col("__size") > SHORT).select("cls", "comp").distinct(), "open")
-    shingles = sets.join(left, F.col("id") == F.col("cls")).select("cls", F.col("n").alias("size"), F.explode(_longs(F.col("set"))).alias("value"))
-    exact = prefix_lists(shingles, F.col("size"), F.floor((F.col("size") * percent + 99) / 100))
-    exact = _open(exact.join(left, "cls").select("value", "cls", "comp"))
+    shingles = sets.join(left, F.col("id") == F.col("cls")).select("cls", "comp", F.col("n").alias("size"), F.explode(_longs(F.col("set"))).alias("value"))
+    exact = prefix_lists(shingles, F.col("size"), F.floor((F.col("size") * percent + 99) / 100), ("comp", "size"))
+    exact = _open(exact)
     short = _short_pairs(open_lists).unionByName(_short_pairs(exact)).distinct()
     more = _verified(_estimate(short, classes, k, percent), sets, percent)
     tiled = _across(exact.filter(F.col("__size") > SHORT).drop("__size"), sets, percent)

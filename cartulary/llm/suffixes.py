@@ -13,8 +13,11 @@ window. So texts meet by anchors, not by all their suffixes:
    (Larsson-Sadakane: only groups not yet sorted are refined, the depth doubles
    each round), takes the common prefixes of neighbours, and compares places in
    each run with ``WIDTH`` common bytes or more.
-4. An anchor with very many contexts would make a shard too large. The windows
-   of those contexts meet as hashes, combined before the shuffle.
+4. An anchor with very many contexts would make a shard too large. Two equal
+   windows agree on half of what is beside the anchor, on its left or on its
+   right; so its contexts are dealt again, by the anchor and that half on each
+   side. Where very many still agree on a side, the windows of those contexts
+   meet as hashes, combined before the shuffle.
 5. Repeated windows are merged to spans in their text.
 """
 
@@ -32,7 +35,7 @@ from .base import column, identified, land, marked, pieces, texts
 
 WIDTH = 100
 ANCHOR = 24
-#: Contexts of an anchor that go to one shard at most.
+#: Contexts of an anchor that go to one shard at most; with more, its sides count too.
 MANY = 1000
 #: Bytes of text whose anchors are sought together; each byte takes some hundred bytes of arrays meanwhile.
 TOGETHER = 1 << 20
@@ -251,6 +254,21 @@ def _sorted_shards(contexts: DataFrame, width: int) -> DataFrame:
     return shards.mapInArrow(run, "__id long, lo int, hi int")
 
 
+def _by_sides(contexts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """Contexts ``a, __id, lo, bytes`` dealt again: ``a`` then stands for the anchor and what is next to it on one side.
+
+    A window holds at least half of ``width - ANCHOR`` bytes on one side of its
+    anchor, so all places of a window meet under that side.
+    """
+    half = (width - ANCHOR + 1) // 2
+    placed = contexts.join(wanted.select("a", "__id", "lo", "at"), ["a", "__id", "lo"])
+    before = F.col("at") - F.col("lo")
+    left = F.when(before >= half, F.xxhash64("a", F.lit(0), F.substring("bytes", before - half + 1, F.lit(half))))
+    after = F.substring("bytes", before + ANCHOR + 1, F.lit(half))
+    right = F.when(F.octet_length(after) == half, F.xxhash64("a", F.lit(1), after))
+    return placed.select(F.explode(F.array_compact(F.array(left, right))).alias("a"), "__id", "lo", "bytes")
+
+
 def _hashed_windows(contexts: DataFrame, width: int) -> DataFrame:
     """Repeated windows ``__id, lo, hi`` of contexts whose anchors have too many of them."""
 
@@ -293,9 +311,13 @@ def repeats(rows: DataFrame, width: int = WIDTH, many: int = MANY) -> DataFrame:
     copies = several.select(*spot, F.lit(False).alias("__is_first")).unionByName(marks).groupBy(*spot).agg(
         F.max("__is_first").alias("__is_first")).filter("not __is_first").select("__id", "lo", "hi")
     counts = firsts.groupBy("a").agg(F.count(F.lit(1)).alias("__contexts"))
-    wanted = firsts.join(counts, "a").select("a", F.col("__fid").alias("__id"), "lo", "hi", "__contexts")
-    few = _sorted_shards(_contexts(rows, wanted.filter(F.col("__contexts") <= many)), width)
-    lots = _hashed_windows(_contexts(rows, wanted.filter(F.col("__contexts") > many)), width)
+    wanted = firsts.join(counts, "a").select("a", F.col("__fid").alias("__id"), "lo", "hi", F.col("__fat").alias("at"), "__contexts")
+    few = wanted.filter(F.col("__contexts") <= many)
+    lots = wanted.filter(F.col("__contexts") > many)
+    sided = land(_by_sides(_contexts(rows, lots), lots, width), "sides")
+    hot = sided.groupBy("a").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > many).select("a")
+    few = _sorted_shards(_contexts(rows, few).select("a", "__id", "lo", "bytes").unionByName(sided.join(hot, "a", "left_anti")), width)
+    lots = _hashed_windows(sided.join(hot, "a", "left_semi").select("__id", "lo", "bytes").distinct(), width)
     every = one.unionByName(copies).unionByName(few).unionByName(lots)
     return land(every.groupBy("__id").agg(F.collect_list(F.struct("lo", "hi")).alias("__spans")), "spans")
 

@@ -146,3 +146,27 @@ def test_few_ids_move_at_the_end():
             at += n
         assert at == 256 or at & (at - 1) == 0
     assert sum(len(p[2]) for p in packer.done) == sum(sizes)
+
+
+@pytest.mark.parametrize("many", [1, 4, 1000])
+def test_hot_anchors(spark, many, monkeypatch):
+    """One phrase in all texts, in many surroundings that agree on one side, on both or on none."""
+    phrase = prose(12)
+    sides = [prose(18) for _ in range(4)]
+    texts = [f"{sides[i % 4]} {phrase} {sides[i // 4 % 4]} {prose(i % 5)}" for i in range(40)] + [f"{prose(9)} {phrase} {prose(9)}" for _ in range(10)]
+    rows = list(enumerate(texts))
+    monkeypatch.setattr(suffixes.repeats, "__defaults__", (100, many))
+    found = suffixes.trimmed(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert sorted([(r.doc_id, r.n_bytes, r.n_removed, r.kept_sha256) for r in found], key=repr) == cut(rows)
+
+
+@pytest.mark.parametrize("tile", [200, 2_000_000])
+def test_links_across_tiles(spark, tile):
+    """Members of long lists in different components, in one tile and in many."""
+    sets = {i: np.unique(random.integers(0, 60, 40).astype(np.uint64)) for i in range(120)}
+    sets |= {1000 + i: np.unique(np.append(s, np.uint64(77))) for i, s in sets.items() if i % 3 == 0}
+    stored = spark.createDataFrame([(i, len(s), minhash.pack(s << np.uint64(16))) for i, s in sets.items()], "id long, n long, set binary")
+    entries = spark.createDataFrame([(v, i, i // 2, len(s)) for v in (1, 2) for i, s in sets.items()], "value long, cls long, comp long, size long")
+    found = {tuple(r) for r in minhash._across(entries, stored, 80, tile).collect()}
+    wanted = {(a, b) for a in sets for b in sets if a < b and a // 2 != b // 2 and 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))}
+    assert found == wanted and len(wanted) >= 40
