@@ -210,17 +210,6 @@ def test_mixing(docs):
     assert mixing.scored(docs.limit(0)).count() == 0
 
 
-def test_mixed_bits_are_probabilities():
-    """Over all classes of the last token, the probabilities add up to one."""
-    odds = random.normal(size=mixing.ORDERS * mixing.SLOTS).astype(np.float32)
-    told = np.array([5 << 56, 99 << 56, 0], np.uint64)
-    scores = []
-    for c in range(1 << mixing.BITS):
-        told[2] = np.uint64(c << (64 - mixing.BITS))
-        scores.append(mixing.bit_scores(told, np.zeros(3, np.int64), odds)[2])
-    assert sum(10.0 ** s for s in scores) == pytest.approx(1, abs=1e-3)
-
-
 def test_shards(docs):
     rows = hilbert.hilbert_shards(docs).collect()
     slots = collections.defaultdict(list)
@@ -356,67 +345,6 @@ def test_rows_of_one_key_are_dropped_one_by_one(spark, drop):
     assert kept == sorted([(3, a), (5, b), (0, c), (7, d)], key=str)
 
 
-def test_contexts_keep_counts_of_their_own():
-    """As many contexts as the old tables had slots twice over: each has its own count, one not seen has none."""
-    contexts = mixing.flat.mix(np.arange(1, 2 * mixing.SLOTS + 1, dtype=np.uint64))
-    classes = np.arange(len(contexts)) % 256
-    keys, _, inverse = mixing.flat.distinct(mixing.entries(contexts, classes))
-    counts = np.arange(len(keys)) % 3
-    n = mixing.path_counts(keys, counts)
-    assert (n == counts).all()
-    odds = mixing.path_odds(n, (keys & np.uint64(255)).astype(np.int64))
-    assert ((odds != 0) == (counts > 0)[:, None]).all()
-
-
-def test_counts_along_paths_of_all_chunks(spark, docs, monkeypatch):
-    """What texts are told equals counts by brute force over all training texts, whatever the chunks."""
-    monkeypatch.setattr(mixing, "CHUNK", 3000)
-    F = mixing.F
-    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
-    rows = docs.select(F.col("doc_id").alias("__key"), held.alias("held_out"), F.lit(1).alias("__bytes"), F.col("text").alias("__text"))
-
-    def describe(piece, hashes, doc):
-        classes = mixing.class_of(hashes).astype(np.uint8)
-        ends = np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=piece.num_rows)))).astype(np.int32)
-        pa = mixing.pa
-        return pa.RecordBatch.from_arrays([mixing.column(piece, "__key"), pa.ListArray.from_arrays(pa.array(ends), pa.array(classes))], ["__key", "__classes"])
-
-    def hashed(text):
-        batch = mixing.pa.RecordBatch.from_pydict({"t": [text]})
-        hashes, doc = mixing.tokens(batch, "t")
-        return [c.tolist() for c in mixing.contexts(hashes, doc)[1:]], mixing.class_of(hashes).tolist()
-
-    seen = collections.Counter()
-    for d, t in TEXT.items():
-        if zlib.crc32(str(d).encode()) % 7 != 2:
-            orders, classes = hashed(t)
-            seen.update((c, bit, k >> (8 - bit)) for order in orders for c, k in zip(order, classes) for bit in range(9))
-    chunks = mixing._chunks(mixing._answered(mixing._asked(rows, describe, 7))).collect()
-    assert len(chunks) > 3
-    told = {}
-    for chunk in chunks:
-        info, places, counts, classes = mixing._opened(chunk.asDict())
-        at = 0
-        for d, mine in zip(info.column(0).to_pylist(), info.column(1)):
-            told[d] = counts[:, places[:, at : at + len(mine)]].tolist()
-            at += len(mine)
-    for d, t in TEXT.items():
-        orders, classes = hashed(t)
-        assert told[d] == [[[seen[c, bit, k >> (8 - bit)] for c, k in zip(order, classes)] for order in orders] for bit in range(9)]
-
-
-def test_texts_are_scored_alone_and_to_their_end():
-    """Neighbours change no score, and a text learns beyond its first 64 tokens."""
-    odds = np.zeros(mixing.ORDERS * mixing.SLOTS, np.float32)
-    rng = np.random.default_rng(5)
-    text, other = (rng.integers(1, 1 << 63, n).astype(np.uint64) for n in (600, 37))
-    text = np.where(np.arange(600) % 8 > 0, np.uint64(7 << 56), text)
-    alone = mixing.bit_scores(text, np.zeros(600, np.int64), odds)
-    told = mixing.bit_scores(np.concatenate((other, text, text)), np.repeat([0, 1, 2], (37, 600, 600)), odds)
-    assert told[37:637] == pytest.approx(alone, rel=1e-5) and told[637:] == pytest.approx(alone, rel=1e-5)
-    assert alone[300:].mean() > alone[64:128].mean() + 0.1 and alone[64:128].mean() > alone[:64].mean()
-
-
 def test_start_is_learned_from_training_texts(spark):
     rows = [(i, "a b c d " * 30) for i in range(20)]
     found = mixing.scored(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
