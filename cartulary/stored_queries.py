@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, functions as F
 
 from .keys import RELATION, SNAPSHOT
-from .operators import diff, grams, pages
+from .operators import diff, grams, pages, scrub
 from .operators.hashes import relation_hashes
 from .plans import detail as details
 from .plans import drift as drifts
@@ -196,3 +196,18 @@ def indexed_search(spark, folder):
 @query
 def bounded_candidates(spark, folder):
     return details.bounded_candidates(resolution(spark, folder)[1])
+
+
+# --- messages ----------------------------------------------------------------
+
+
+@query
+def scrub_all(spark, folder):
+    """Every page as a message that tells secrets of other pages, scrubbed of the secrets of all pages."""
+    found = spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "html")
+    number = F.col("page_id").cast("string")
+    secrets = found.select(F.explode(F.array(F.concat(F.lit("hunter"), number), F.concat(F.lit("p@ss-w0rd!"), number), F.concat(F.lit("p%40ss-w0rd!"), number))).alias("secret"))
+    other = lambda k: (F.col("page_id") + k).cast("string")
+    message = F.concat(F.lit("hunter"), other(1), F.lit(" p@ss-w0rd!"), other(5), F.lit("0 hunterp%40ss-w0rd!"), other(11), F.lit(" "), F.coalesce("html", F.lit("")))
+    scrubbed = scrub.scrub_all(found.select("page_id", message.alias("message")), secrets, "page_id", "message", "secret", fresh(spark, "scrubbed"))
+    return scrubbed.select("page_id", F.sha2("message", 256).alias("hash"), F.length("message").alias("n_chars"))

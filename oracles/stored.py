@@ -110,4 +110,9 @@ FROM (SELECT DISTINCT catalog_id, snapshot_id FROM raw_scopes) c LEFT JOIN set_s
     "bounded_candidates": """
 SELECT catalog_id, request_id, pos, candidate, CAST(place AS INTEGER) AS place, greatest(total - 20, 0) AS omitted FROM (
   SELECT *, row_number() OVER w AS place, count(*) OVER (PARTITION BY catalog_id, request_id, pos) AS total FROM candidate WINDOW w AS (PARTITION BY catalog_id, request_id, pos ORDER BY candidate)) x WHERE place <= 20""",
+    "scrub_all": """
+WITH s AS (SELECT unnest(['hunter' || page_id, 'p@ss-w0rd!' || page_id, 'p%40ss-w0rd!' || page_id]) AS secret FROM pages),
+m AS (SELECT page_id, 'hunter' || (page_id + 1) || ' p@ss-w0rd!' || (page_id + 5) || '0 hunterp%40ss-w0rd!' || (page_id + 11) || ' ' || coalesce(html, '') AS message FROM pages),
+x AS (SELECT page_id, list_reduce(list_concat([message], (SELECT list(secret ORDER BY length(secret) DESC, secret) FROM s)), lambda a, b: replace(a, b, '***')) AS message FROM m)
+SELECT page_id, sha256(message) AS hash, length(message) AS n_chars FROM x""",
 }
