@@ -127,7 +127,7 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
 
 
 def common_prefixes(data: np.ndarray, order: np.ndarray, limit: int) -> np.ndarray:
-    """Common bytes of each suffix with the one before it in ``order``, up to ``limit``.
+    """Common bytes of each suffix in ``order`` with the one before it there, up to ``limit``; ``order`` may leave suffixes out.
 
     All neighbours are compared at once, eight bytes a step; those that differ
     leave.
@@ -137,8 +137,8 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, limit: int) -> np.ndarr
     words = np.zeros(n + limit + 8, flat.U)
     for i in range(8):
         words |= wide[i : i + len(words)].astype(flat.U) << flat.U(8 * i)
-    found = np.zeros(n, np.int64)
-    active = np.arange(1, n)
+    found = np.zeros(len(order), np.int64)
+    active = np.arange(1, len(order))
     for step in range(0, limit, 8):
         x = words[order[active] + step] ^ words[order[active - 1] + step]
         same = x == 0
@@ -148,7 +148,7 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, limit: int) -> np.ndarr
         if not len(active):
             break
     found[active] = limit
-    if n > 1:
+    if len(order) > 1:
         found[1:] = np.minimum(found[1:], n - np.maximum(order[1:], order[:-1]))
     return np.minimum(found, limit)
 
@@ -165,9 +165,9 @@ def repeated(contexts: list[bytes], key: np.ndarray, start: np.ndarray, width: i
     owner = np.repeat(np.arange(len(contexts)), sizes)
     place = np.arange(len(data)) - np.repeat(ends - sizes, sizes)
     order = suffix_array(data, width)
-    group = np.cumsum(common_prefixes(data, order, width) < width)
-    valid = (place + width <= sizes[owner])[order]
-    suffix, group = order[valid], group[valid]
+    # Only places where a window begins are compared; the others were needed to sort these.
+    suffix = order[(place + width <= sizes[owner])[order]]
+    group = np.cumsum(common_prefixes(data, suffix, width) < width)
     own, at = owner[suffix], place[suffix]
     where, whose = start[own] + at, key[own]
     ranked = np.lexsort((where, whose, group))
@@ -195,11 +195,9 @@ def spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 # --- Spark -------------------------------------------------------------------
 
-_ANCHORS = "__id long, at int, lo int, hi int, a long, c long"
-
-
-def _anchor_rows(rows: DataFrame, width: int) -> DataFrame:
-    """``__id, at, lo, hi, a, c`` of all anchors of ``__id, __text``; places count in the text."""
+def _anchor_rows(rows: DataFrame, width: int, borders: bool = True) -> DataFrame:
+    """``__id, at, lo, hi, a, c`` of all anchors of ``__id, __text``; places count in the text. Without ``borders`` no ``lo, hi``."""
+    names = ["__id", "at", *(["lo", "hi"] if borders else []), "a", "c"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, "__text", TOGETHER):
@@ -209,11 +207,11 @@ def _anchor_rows(rows: DataFrame, width: int) -> DataFrame:
             ids = column(piece, "__id").to_numpy(zero_copy_only=False)[doc]
             for i in range(0, max(len(at), 1), 50_000):
                 s = slice(i, i + 50_000)
-                places = [pa.array((x[s] - offsets[doc[s]]).astype(np.int32)) for x in (at, lo, hi)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[s], pa.int64()), *places, pa.array(a[s].view(np.int64)), pa.array(c[s].view(np.int64))], ["__id", "at", "lo", "hi", "a", "c"])
+                places = [pa.array((x[s] - offsets[doc[s]]).astype(np.int32)) for x in ((at, lo, hi) if borders else (at,))]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[s], pa.int64()), *places, pa.array(a[s].view(np.int64)), pa.array(c[s].view(np.int64))], names)
 
-    return rows.select("__id", "__text").mapInArrow(run, _ANCHORS)
+    kinds = {"__id": "long", "at": "int", "lo": "int", "hi": "int", "a": "long", "c": "long"}
+    return rows.select("__id", "__text").mapInArrow(run, ", ".join(f"{n} {kinds[n]}" for n in names))
 
 
 def _contexts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -297,7 +295,8 @@ def repeats(rows: DataFrame, width: int = WIDTH, many: int = MANY) -> DataFrame:
     """``__id, __spans``: intervals ``lo, hi`` of bytes in windows that occur earlier, for the texts ``__id, __text``; landed."""
     found = _anchor_rows(rows, width)
     place = F.struct("__id", "at")
-    shared = found.groupBy("a").agg(F.count(F.lit(1)).alias("__n"), F.min("c").alias("__c0"), F.max("c").alias("__c1"), F.min(place).alias("__first")).filter("__n > 1")
+    # Most anchors occur once: their borders are worked out only for those that are shared.
+    shared = _anchor_rows(rows, width, borders=False).groupBy("a").agg(F.count(F.lit(1)).alias("__n"), F.min("c").alias("__c0"), F.max("c").alias("__c1"), F.min(place).alias("__first")).filter("__n > 1")
     shared = land(shared.drop("__n"), "shared")
     asked = marked(found, "a", shared, "a").filter("__maybe").drop("__maybe")
     met = land(asked.join(shared, "a"), "anchors")
