@@ -20,7 +20,7 @@ import regex
 from . import flat
 
 #: Chunks a task remembers, and their letters; beyond that it starts anew.
-MEMORY, LETTERS = 500_000, 16_000_000
+MEMORY, LETTERS = 1_000_000, 32_000_000
 
 
 class ChunkIds:
