@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame
 
 from ..operators import scans
@@ -13,23 +16,26 @@ from ..sources.store import land
 def capture(raw: dict[str, DataFrame], target: str) -> dict[str, DataFrame]:
     """The snapshot tables of every ``(catalog_id, snapshot_id)`` in the extracts.
 
-    Each table is written below ``target`` and read back before the next one
-    uses it: the relations feed every child scan, the children feed the
-    hashes, and a lost executor costs one table, not the whole graph.
+    Each table is written below ``target`` and read back before one that needs
+    it begins: the relations feed every child scan, the children feed the
+    hashes, and a lost executor costs one table, not the whole graph. Tables
+    that do not need each other are written side by side.
     """
-    tables: dict[str, DataFrame] = {"scopes": land(raw["scopes"], f"{target}/scopes")}
-
-    def keep(name: str, frame: DataFrame) -> DataFrame:
-        tables[name] = land(frame, f"{target}/{name}")
-        return tables[name]
-
-    relations = keep("relations", scans.scan_relations(raw))
-    columns = keep("columns", scans.scan_columns(raw, relations))
-    constraints = keep("constraints", scans.scan_constraints(raw, relations))
-    keep("foreign_keys", scans.scan_foreign_keys(raw, relations))
-    keep("indexes", scans.scan_indexes(raw, relations, constraints))
-    keep("enums", scans.scan_enums(raw, columns))
-    keep("referenced_by", referenced_by(tables["foreign_keys"], relations))
-    keep("hashes", relation_hashes(tables))
-    keep("snapshots", revisions(tables["hashes"], tables["enums"], tables["scopes"]))
+    tables: dict[str, DataFrame] = {}
+
+    def keep(made: dict[str, Callable[[], DataFrame]]) -> None:
+        with ThreadPoolExecutor(len(made)) as pool:
+            running = {name: pool.submit(lambda name=name, make=make: land(make(), f"{target}/{name}")) for name, make in made.items()}
+            tables.update({name: job.result() for name, job in running.items()})
+
+    keep({"scopes": lambda: raw["scopes"], "relations": lambda: scans.scan_relations(raw)})
+    relations = tables["relations"]
+    keep({
+        "columns": lambda: scans.scan_columns(raw, relations), "constraints": lambda: scans.scan_constraints(raw, relations),
+        "foreign_keys": lambda: scans.scan_foreign_keys(raw, relations)})
+    keep({
+        "indexes": lambda: scans.scan_indexes(raw, relations, tables["constraints"]), "enums": lambda: scans.scan_enums(raw, tables["columns"]),
+        "referenced_by": lambda: referenced_by(tables["foreign_keys"], relations)})
+    keep({"hashes": lambda: relation_hashes(tables)})
+    keep({"snapshots": lambda: revisions(tables["hashes"], tables["enums"], tables["scopes"])})
     return tables
