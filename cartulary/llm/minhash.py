@@ -176,6 +176,21 @@ def tile_links(left: list[np.ndarray], right: list[np.ndarray], percent: int) ->
     return tuple(np.concatenate(found, axis=1))
 
 
+def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Fewer links that join what the links ``a, b`` join: each member with the smallest one that it reaches."""
+    nodes, number = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y = number[: len(a)], number[len(a) :]
+    label, before = np.arange(len(nodes)), None
+    while before is None or (label != before).any():
+        before = label.copy()
+        low = np.minimum(label[x], label[y])
+        np.minimum.at(label, x, low)
+        np.minimum.at(label, y, low)
+        label = label[label]
+    linked = label != np.arange(len(nodes))
+    return nodes[label[linked]], nodes[linked]
+
+
 def _block_links(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
     sizes = [np.array([len(s) for s in side], np.int64) for side in (left, right)]
     # Sets whose sizes differ too much are not linked, whatever they hold.
@@ -217,12 +232,13 @@ def _short_pairs(entries: DataFrame) -> DataFrame:
 
 
 def _across(entries: DataFrame, sets: DataFrame, percent: int, tile: int = TILE) -> DataFrame:
-    """Links ``a, b`` between members of a list ``value, cls, comp, size`` in different components.
+    """Links ``a, b`` that join what is linked between members of a list ``value, cls, comp, size`` in different components.
 
     A list is cut into tiles of some ``tile`` shingles: a component with more
     has tiles of its own, the rest is dealt by component. Two tiles of one
     component are not compared. A set goes once to each pair that its tile is
-    part of, and a list that fits into one tile is compared within itself.
+    part of, and a list that fits into one tile is compared within itself. Two
+    tiles give at most a link for each member, however many are linked.
     """
     per = entries.groupBy("value", "comp").agg(F.sum("size").alias("__c"))
     small = per.groupBy("value").agg(
@@ -252,7 +268,8 @@ def _across(entries: DataFrame, sets: DataFrame, percent: int, tile: int = TILE)
         i, j = tile_links(*([unpack(x) for x in s["set"]] for s in sides), percent)
         a, b = sides[0]["cls"].to_numpy()[i], sides[1]["cls"].to_numpy()[j]
         cross = sides[0]["comp"].to_numpy()[i] != sides[1]["comp"].to_numpy()[j]
-        return pd.DataFrame({"a": np.minimum(a, b)[cross], "b": np.maximum(a, b)[cross]}).drop_duplicates()
+        one, two = spanning(a[cross], b[cross])
+        return pd.DataFrame({"a": one, "b": two})
 
     return full.groupBy("value", "__t1", "__t2").applyInPandas(run, "a long, b long")
 
