@@ -8,6 +8,7 @@ encoded.
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import unicodedata
@@ -19,6 +20,13 @@ import regex
 
 from . import flat
 
+#: Kinds of bytes for pre-tokens: space, letter, digit, other; 4 where the byte alone does not tell.
+_KINDS = np.full(256, 3, np.uint8)
+_KINDS[32] = 0
+_KINDS[[*range(65, 91), *range(97, 123)]] = 1
+_KINDS[48:58] = 2
+_KINDS[[39, *range(128, 256)]] = 4
+
 #: Chunks a task remembers, and their letters; beyond that it starts anew.
 MEMORY, LETTERS = 1_000_000, 32_000_000
 
@@ -47,12 +55,12 @@ class ChunkIds:
             self.letters += sum(map(len, new))
             self.offsets = np.concatenate((self.offsets, offsets[1:] + self.offsets[-1]))
             self.ids = np.concatenate((self.ids, ids.astype(np.int32)))
-        return np.fromiter((self.known[c] for c in chunks), np.int64, len(chunks))
+        return np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
 
     def of(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of some texts without nulls, and the offsets of the texts in them."""
         chunks, which, doc = flat.coded(column, ~flat.SPACE)
-        number = self._numbers(chunks.to_pylist())[which]
+        number = self._numbers(chunks.to_numpy(zero_copy_only=False).tolist())[which]
         sizes = self.offsets[number + 1] - self.offsets[number]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
@@ -98,19 +106,30 @@ class Splitter:
         found = self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(text))
         return [w.translate(self.bytes_of).encode("latin-1") for w, _ in found]
 
-    def count(self, text: str) -> int:
-        if text.isascii() and text.isalpha():
-            return 1
-        return len(self.split.findall(text.lower()) if self.settled.fullmatch(text) else self.words(text))
+    def counts(self, chunks: list[str]) -> np.ndarray:
+        """How many pre-tokens each chunk has.
+
+        In plain ASCII they begin where the kind of character changes, and at
+        each digit; a quote may begin a word of its own, so those chunks and
+        all others are split.
+        """
+        kind = _KINDS[np.frombuffer(" ".join(["", *chunks]).encode("utf-8"), np.uint8)]
+        begin = np.flatnonzero(kind == 0)
+        starts = (kind[1:] != 0) & ((kind[1:] != kind[:-1]) | (kind[1:] == 2))
+        found = np.add.reduceat(np.append(False, starts), begin, dtype=np.int64) if len(begin) else np.empty(0, np.int64)
+        for i in np.unique(np.searchsorted(begin, np.flatnonzero(kind == 4), "right") - 1).tolist():
+            found[i] = len(self.split.findall(chunks[i].lower()) if self.settled.fullmatch(chunks[i]) else self.words(chunks[i]))
+        return found
 
 
+@functools.lru_cache(maxsize=1)
 def library_encoder(path: str) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
     """Encode distinct chunks by the tokenizers library, many in one call.
 
     Chunks are joined by spaces. The last token of each pre-token carries the
     word end, so a chunk's ids are found by counting its pre-tokens. A chunk
     with the marks of special tokens is encoded alone, and so are those of a
-    call whose count is not the expected one.
+    call whose count is not the expected one. A worker reads the file once.
     """
     splitter = Splitter(path)
     tokenizer = splitter.tokenizer
@@ -118,6 +137,8 @@ def library_encoder(path: str) -> Callable[[list[str]], tuple[np.ndarray, np.nda
     vocab = tokenizer.get_vocab()
     ends = np.zeros(max(vocab.values()) + 1, bool)
     ends[[i for t, i in vocab.items() if t.endswith(end)]] = True
+    # What the file says takes many times its size, and is not needed any more.
+    del splitter.told, vocab
 
     def ids_of(texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.int32) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -128,9 +149,10 @@ def library_encoder(path: str) -> Callable[[list[str]], tuple[np.ndarray, np.nda
         plain = [i for i in range(len(chunks)) if i not in own] if own else range(len(chunks))
         groups = [plain[i : i + 500] for i in range(0, len(plain), 500)]
         parts, sizes = [], np.zeros(len(chunks), np.int64)
-        for group, ids in zip(groups, ids_of([" ".join([chunks[i] for i in g]) for g in groups])):
+        expected = splitter.counts([chunks[i] for i in plain])
+        for number, (group, ids) in enumerate(zip(groups, ids_of([" ".join([chunks[i] for i in g]) for g in groups]))):
             borders = np.concatenate(([0], np.flatnonzero(ends[ids]) + 1))
-            counts = np.cumsum([splitter.count(chunks[i]) for i in group])
+            counts = np.cumsum(expected[500 * number : 500 * number + len(group)])
             if counts[-1] != len(borders) - 1 or borders[-1] != len(ids):
                 own.update(zip(group, ids_of([chunks[i] for i in group])))
                 continue
