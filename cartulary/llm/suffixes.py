@@ -65,23 +65,35 @@ def anchors(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH, size: int
     span = width - size + 1
     low = _slide(grams, span, np.minimum)  # by start of window
     # Windows that reach into the next text have no anchor.
-    bad = np.zeros(len(low) + 1, np.int64)
-    borders = offsets[1:-1]
-    np.add.at(bad, np.clip(borders - width + 1, 0, len(low)), 1)
-    np.add.at(bad, np.clip(borders, 0, len(low)), -1)
-    low[np.cumsum(bad[:-1]) > 0] = 0
-    padded = np.concatenate((np.zeros(span - 1, flat.U), low, np.zeros(span - 1, flat.U)))
-    able = np.flatnonzero(grams == _slide(padded, span, np.maximum))
-    # The leftmost smallest place of each window; it never moves back from a window to the next.
-    starts = np.flatnonzero(low)
-    number = np.searchsorted(able, starts)
-    wrong = np.flatnonzero(grams[able[number]] != low[starts])
-    while len(wrong):
-        number[wrong] += 1
-        wrong = wrong[grams[able[number[wrong]]] != low[starts[wrong]]]
-    at = able[number]
-    first = flat.runs(at)
-    at, begin, end = at[first], starts[first], starts[np.append(first[1:], len(starts)) - 1] + width
+    for border in offsets[1:-1].tolist():
+        low[max(border - width + 1, 0) : max(border, 0)] = 0
+    # Neighbouring windows of one smallest hash are looked at together, by the first of them.
+    begin = flat.runs(low)
+    until = np.append(begin[1:], len(low))
+    some = low[begin] != 0
+    begin, until = begin[some], until[some]
+    at = begin + np.lib.stride_tricks.sliding_window_view(grams, span)[begin].argmin(axis=1)
+    # Its leftmost place holds until windows begin behind it; where the same string comes again, further places follow.
+    end = np.minimum(until, at + 1)
+    rest = np.flatnonzero(end < until)
+    if len(rest):
+        sizes = until[rest] - end[rest] + span - 1
+        run = np.repeat(np.arange(len(rest)), sizes)
+        where = np.arange(len(run)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + end[rest][run]
+        same = np.flatnonzero(grams[where] == low[begin[rest]][run])
+        run, where = run[same], where[same]
+        # A place is leftmost for the windows from behind the place before it.
+        after = np.empty_like(where)
+        after[1:] = where[:-1] + 1
+        heads = flat.runs(run)
+        after[heads] = end[rest][run[heads]]
+        known = after < until[rest][run]
+        run, where, after = run[known], where[known], after[known]
+        at, begin = np.concatenate((at, where)), np.concatenate((begin, after))
+        end = np.concatenate((end, np.minimum(until[rest][run], where + 1)))
+        order = np.argsort(at)
+        at, begin, end = at[order], begin[order], end[order]
+    end = end - 1 + width
     # The place of the anchor in its context is part of what must agree.
     context = flat.mix(flat.ranges(sums, begin, end) + (at - begin).astype(flat.U))
     return at, grams[at], begin, end, context
