@@ -10,20 +10,20 @@ from .base import land
 def components(edges: DataFrame) -> DataFrame:
     """``node, component`` (the smallest reachable node) of all nodes of the edges ``a, b``.
 
-    Each round takes the smallest label around a node and then the label of
-    that label, so chains shorten by more than half; rounds end when nothing
-    changes. Edges of a hub meet in split join partitions and are combined
-    before the shuffle; every round is landed.
+    Each round takes the smallest label around a node, its own among them, and
+    then the label of that label, so chains shorten by more than half; rounds
+    end when nothing changes. Edges of a hub meet in split join partitions and
+    are combined before the shuffle; every round is landed.
     """
-    both = land(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = land(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("component")), "labels")
+    told = F.array(*(F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x in "ab" for y in "ab"))
+    both = land(edges.select(F.explode(told).alias("__e")).select("__e.a", "__e.b").distinct(), "edges")
+    labels = land(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")), "labels")
     while True:
-        around = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("component").alias("__near"))
-        near = labels.join(around, labels.node == around.a, "left").select(
-            "node", "component", F.least("component", F.coalesce("__near", "component")).alias("__next"))
+        around = both.join(labels, both.b == labels.node).groupBy("a").agg(
+            F.min("component").alias("__next"), F.min(F.when(F.col("a") == F.col("b"), F.col("component"))).alias("__before"))
         jump = labels.select(F.col("node").alias("__at"), F.col("component").alias("__jump"))
-        moved = land(near.join(jump, F.col("__next") == F.col("__at"), "left").select(
-            "node", F.least("__next", F.coalesce("__jump", "__next")).alias("component"), F.col("component").alias("__before")), "labels")
+        moved = land(around.join(jump, F.col("__next") == F.col("__at"), "left").select(
+            F.col("a").alias("node"), F.least("__next", F.coalesce("__jump", "__next")).alias("component"), "__before"), "labels")
         labels = moved.select("node", "component")
         if not moved.filter("component != __before").limit(1).count():
             return labels

@@ -274,6 +274,28 @@ def _across(entries: DataFrame, sets: DataFrame, percent: int, tile: int = TILE)
     return full.groupBy("value", "__t1", "__t2").applyInPandas(run, "a long, b long")
 
 
+def _late_links(lists: DataFrame, sets: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame | None:
+    """Links ``a, b`` across components of the open ``lists``; none where no list is open.
+
+    What only long lists need is planned only if there is one: a plan costs the
+    driver threads and memory for each of its exchanges, also over no rows.
+    """
+    if lists.isEmpty():
+        return None
+    short, tiled = _short_pairs(lists), None
+    left = land(lists.filter(F.col("__size") > SHORT).select("cls", "comp").distinct(), "open")
+    if not left.isEmpty():
+        shingles = sets.join(left, F.col("id") == F.col("cls")).select("cls", "comp", F.col("n").alias("size"), F.explode(_longs(F.col("set"))).alias("value"))
+        exact = prefix_lists(shingles, F.col("size"), F.floor((F.col("size") * percent + 99) / 100), ("comp", "size"))
+        exact = _open(exact)
+        short = short.unionByName(_short_pairs(exact)).distinct()
+        long = exact.filter(F.col("__size") > SHORT).drop("__size")
+        if not long.isEmpty():
+            tiled = land(_across(long, sets, percent), "links")
+    more = land(_verified(_estimate(short, classes, k, percent), sets, percent), "links")
+    return more if tiled is None else more.unionByName(tiled)
+
+
 def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 4, percent: int = 80, k: int = K) -> DataFrame:
     """For each row: ``key, n_shingles, component_id, kept``.
 
@@ -308,18 +330,18 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     known = entries.select("value", "cls").join(label, F.col("cls") == F.col("node"), "left").select(
         "value", "cls", F.coalesce("component", "cls").alias("comp"))
     open_lists = _open(known)
-    left = land(open_lists.filter(F.col("__size") > SHORT).select("cls", "comp").distinct(), "open")
-    shingles = sets.join(left, F.col("id") == F.col("cls")).select("cls", "comp", F.col("n").alias("size"), F.explode(_longs(F.col("set"))).alias("value"))
-    exact = prefix_lists(shingles, F.col("size"), F.floor((F.col("size") * percent + 99) / 100), ("comp", "size"))
-    exact = _open(exact)
-    short = _short_pairs(open_lists).unionByName(_short_pairs(exact)).distinct()
-    more = _verified(_estimate(short, classes, k, percent), sets, percent)
-    tiled = _across(exact.filter(F.col("__size") > SHORT).drop("__size"), sets, percent)
-    every = land(links.unionByName(more).unionByName(tiled).distinct(), "links")
-
-    label = components(every)
+    late = _late_links(open_lists, sets, classes, k, percent)
     out = found.join(groups.select("__a", "__b", "cls"), ["__a", "__b"], "left").join(label, F.col("cls") == F.col("node"), "left")
-    reached = F.when(F.col("n_shingles") > 0, F.coalesce("component", "cls")).otherwise(F.col("__id"))
+    out = out.withColumn("component", F.coalesce("component", "cls")).drop("node")
+    if late is not None:
+        # Late links join components, each known by its smallest member, which stays the smallest.
+        between = late
+        for end in "ab":
+            of = label.select(F.col("node").alias(end), F.col("component").alias("__of"))
+            between = between.join(of, end, "left").withColumn(end, F.coalesce("__of", end)).drop("__of")
+        joined = components(between).withColumnRenamed("component", "__joined")
+        out = out.join(joined, F.col("component") == F.col("node"), "left").withColumn("component", F.coalesce("__joined", "component"))
+    reached = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("__id"))
     out = out.select("__id", "n_shingles", reached.alias("__reached"))
     if numbers is None:
         out = out.withColumns({"__key": F.col("__id"), "__first": F.col("__reached")})

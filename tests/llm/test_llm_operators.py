@@ -184,6 +184,16 @@ def test_near_groups_odd_tables(spark, docs):
         (-1, 7, False), (7, 7, True), (7, 7, True)]
 
 
+def test_near_groups_plan_long_lists_only_where_there_are_some(spark, docs, monkeypatch):
+    """Without an open list, or without a long one, what they need is not planned."""
+    monkeypatch.setattr(minhash, "_across", lambda *_: pytest.fail("no list is long"))
+    found = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_groups(docs).collect()}
+    assert found == brute_groups(4, 80)
+    monkeypatch.setattr(minhash, "_short_pairs", lambda *_: pytest.fail("no list is open"))
+    apart = spark.createDataFrame([(3, "a b c d e"), (1, "a  b c d e"), (2, "f g h i j k")], "doc_id long, text string")
+    assert sorted(tuple(r) for r in minhash.near_groups(apart).collect()) == [(1, 2, 1, True), (2, 3, 2, True), (3, 2, 1, False)]
+
+
 def test_tile_links():
     left, right = [np.unique(random.integers(0, 60, 40).astype(np.uint64)) for _ in range(9)], [np.unique(random.integers(0, 60, 40).astype(np.uint64)) for _ in range(7)]
     i, j = minhash.tile_links(left, right, 40)
