@@ -130,6 +130,21 @@ def test_a_hub_becomes_parts_and_comes_back(spark, tmp_path):
     assert sorted(map(str, back["referenced_by"].collect())) == sorted(map(str, made["referenced_by"].select(*back["referenced_by"].columns).collect()))
 
 
+def test_only_large_relations_are_numbered(spark, tmp_path, monkeypatch):
+    """Children of relations that are one document are grouped at once; saved text may be compressed."""
+    made, seen = tables(spark, **shop()), []
+    number = saved.number_within
+    monkeypatch.setattr(saved, "number_within", lambda rows, *rest: seen.append(rows) or number(rows, *rest))
+    docs = saved.documents(made, size=7)
+    assert {r.relation_id for r in seen[0].select("relation_id").distinct().collect()} == {"public.hub"}
+    order = {(d.relation_id, d.part): [c.name for c in d.columns] for d in docs.collect()}
+    assert order["public.t3", 0] == ["id", "hub_id"] and len(order) == 35
+    saved.export(made, str(tmp_path / "a"), size=7, compression="gzip")
+    assert all(p.name.endswith(".gz") for p in (tmp_path / "a" / "relations").rglob("part-*"))
+    back, findings = saved.load(spark, str(tmp_path / "a"), {n: f.schema for n, f in made.items()}, str(tmp_path / "r"))
+    assert findings.count() == 0 and sorted(map(tuple, relation_hashes(back).collect())) == sorted(map(tuple, made["hashes"].collect()))
+
+
 def test_equal_snapshots_give_equal_text(spark, tmp_path):
     made = tables(spark, **shop(5))
     for place, parts in (("a", 1), ("b", 4)):
