@@ -19,6 +19,7 @@ import pyarrow as pa
 import regex
 
 from . import flat
+from .base import release
 
 #: Kinds of bytes for pre-tokens: space, letter, digit, other; 4 where the byte alone does not tell.
 _KINDS = np.full(256, 3, np.uint8)
@@ -139,6 +140,7 @@ def library_encoder(path: str) -> Callable[[list[str]], tuple[np.ndarray, np.nda
     ends[[i for t, i in vocab.items() if t.endswith(end)]] = True
     # What the file says takes many times its size, and is not needed any more.
     del splitter.told, vocab
+    release()
 
     def ids_of(texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.int32) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
