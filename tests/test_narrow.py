@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from model import column, relation, snapshot
 from test_lazy import shuffles
 
 from cartulary.keys import SECTIONS
 from cartulary.operators import diff
+from cartulary.operators.hashes import used_enums
 from cartulary.plans import incremental
 
 
@@ -31,19 +33,17 @@ def test_kept_sums_are_dealt_once(spark):
     sums = ["n", *[f"lane_{i}" for i in range(9)]]
     rows = [("a", "s1", f"p.t{i}", s, *range(1, 11)) for i in range(3) for s in ("columns", "indexes")]
     stored = spark.createDataFrame(rows, "catalog_id string, snapshot_id string, relation_id string, section string, " + ", ".join(f"{c} long" for c in sums))
-    empty = spark.createDataFrame([], "catalog_id string, relation_id string, section string, " + ", ".join(f"{c} long" for c in sums)).select(
-        "catalog_id", F.lit("s2").alias("snapshot_id"), "relation_id", "section", *sums)
+    shop = snapshot(spark, "s2", relations=[relation("t")], columns=[column("t", 1, "id")])
+    children = {name: shop[name] for name in ("columns", "constraints", "foreign_keys", "indexes")} | {"enums": used_enums(shop)}
+    nothing = {name: frame.drop("snapshot_id").withColumn("change", F.lit(1)).filter(F.lit(False)) for name, frame in children.items()}
     relations = spark.createDataFrame(
         [("a", "s2", f"p.t{i}", "p", None, "table", None, None) for i in range(3)],
         "catalog_id string, snapshot_id string, relation_id string, schema string, comment string, kind string, view_definition string, partition_key string")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    kept = incremental._lanes_of
-    incremental._lanes_of = lambda changes, snapshot_id: empty
     try:
-        found = incremental.hashes_from_lanes(incremental.refresh_lanes(stored, {}, "s2"), relations)
+        found = incremental.hashes_from_lanes(incremental.refresh_lanes(stored, nothing, "s2"), relations)
         # Sums once, for both groupings and the join, and the relations.
         assert shuffles(found) == 2
         assert found.count() == 3 and found.select("s_columns").distinct().count() == 1
     finally:
-        incremental._lanes_of = kept
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
