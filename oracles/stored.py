@@ -56,12 +56,13 @@ SELECT {REL}, row_number() OVER (PARTITION BY {REL} ORDER BY list_position(['kin
     "page_part": f"""
 SELECT {REL}, CAST((position - 1) // {LINES} AS INTEGER) AS part, count(*) AS n_lines, string_agg(line, chr(10) ORDER BY position) || chr(10) AS text FROM part_line GROUP BY ALL""",
     "page_part_of": f"SELECT *, max(part) OVER (PARTITION BY {REL}) + 1 AS parts FROM page_part",
+    "page_whole": f"SELECT {REL}, string_agg(text, '' ORDER BY part) AS text FROM page_part GROUP BY ALL",
     "renewed": """
 SELECT l.catalog_id, l.relation_id, l.action, CASE WHEN action IN ('skipped', 'unchanged') THEN l.text WHEN NOT captured THEN rebuilt
   ELSE CASE WHEN action = 'created' THEN '---' || chr(10) || CAST(to_json({'version': 1, 'table': l.relation_id}) AS VARCHAR) || chr(10) || '---' || chr(10) || '<!-- auto:start -->' || chr(10) ELSE head END
     || '<!-- state:' || due_state || ' -->' || chr(10) || '<!-- hash:' || live_hash || ' -->' || chr(10) || '<!-- doc-hash:' || live_doc_hash || ' -->' || chr(10)
-    || p.text || CASE WHEN p.parts > 1 THEN '- parts: ' || p.parts || chr(10) ELSE '' END || CASE WHEN action = 'created' THEN '<!-- auto:end -->' || chr(10) ELSE tail END END AS new_text
-FROM life l LEFT JOIN page_part_of p ON p.catalog_id = l.catalog_id AND p.relation_id = l.relation_id AND p.part = 0""",
+    || p.text || CASE WHEN action = 'created' THEN '<!-- auto:end -->' || chr(10) ELSE tail END END AS new_text
+FROM life l LEFT JOIN page_whole p ON p.catalog_id = l.catalog_id AND p.relation_id = l.relation_id""",
     "listing": " UNION ALL ".join(f"SELECT catalog_id, snapshot_id, '{name}' AS part, count(*) AS found FROM raw_{name} GROUP BY catalog_id, snapshot_id" for name in SCHEMAS),
     "set_scope": """
 SELECT catalog_id, snapshot_id, position, schema FROM raw_scopes WHERE right(catalog_id, 1) <> '6'

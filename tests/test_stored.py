@@ -10,7 +10,7 @@ import pytest
 from model import column, foreign_key, index, relation, snapshots
 from pyspark.sql import functions as F
 
-from cartulary.operators import diff, grams
+from cartulary.operators import diff, grams, pages
 from cartulary.operators.hashes import relation_hashes
 from cartulary.plans import detail, discovery, incremental, page_text
 from cartulary.sources import books, manifest, published, saved
@@ -256,6 +256,19 @@ def test_page_texts_in_parts(spark):
     assert first["public.hub"].endswith(f"- parts: {-(-len(whole['public.hub'].splitlines()) // 4)}\n")
 
 
+def test_refresh_renders_all_parts(spark):
+    made = tables(spark, **shop())
+    overrides = spark.createDataFrame([], "catalog_id string, relation_id string, name string, sensitive boolean")
+    whole = {r.relation_id: r.text for r in page_text.page_texts(made, overrides, 1000).collect()}
+    none = spark.createDataFrame([], "catalog_id string, relation_id string, schema string, path string, text string")
+    subject = pages.subjects(made["hashes"], pages.parse_pages(none), made["scopes"])
+    found = page_text.refreshed(subject, page_text.page_texts(made, overrides, 4)).collect()
+    text = {r.relation_id: r.new_text for r in found}
+    assert set(text) == set(whole) and len(found) == len(whole) and len(whole["public.hub"].splitlines()) > 8
+    for relation_id, lines in whole.items():
+        assert text[relation_id].endswith(f" -->\n{lines}{pages.END}\n")
+
+
 def test_candidates_are_bounded(spark):
     rows = [("c", "r", 1, f"t{i:02}") for i in range(25)] + [("c", "r", 2, "x")]
     found = detail.bounded_candidates(spark.createDataFrame(rows, "catalog_id string, request_id string, pos int, candidate string")).collect()
